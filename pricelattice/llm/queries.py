@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
-from . import bpe, mixing, sharding
+from . import bpe, mixing, neardup, sharding, vectors
 
 QUERIES = {
     "op1_source_mixing": mixing.query,
+    "op2_minhash_neardup": neardup.query,
+    "op5_exact_topk": vectors.query_topk,
+    "op7_block_nn": vectors.query_nearest,
     "op8_bpe": bpe.query,
     "op10_jump_sharding": sharding.query,
 }
-SQL = {"op1_source_mixing": mixing.SQL}
+SQL = {"op1_source_mixing": mixing.SQL, "op2_minhash_neardup": neardup.SQL, "op5_exact_topk": vectors.SQL_TOPK, "op7_block_nn": vectors.SQL_NEAREST}

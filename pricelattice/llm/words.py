@@ -86,6 +86,6 @@ def shingles(words: np.ndarray, first: np.ndarray, n: int):
             np.not_equal(u[1:], u[:-1], out=keep[1:])
             yield u[keep]
         elif b > a:
-            yield mix((words[a:b] * COEF[32 : 32 + b - a]).sum(keepdims=True) + U(b - a) * COEF[62])
+            yield mix((words[a:b] * COEF[32 : 32 + b - a]).sum(keepdims=True) + COEF[40 + b - a])
         else:
             yield np.zeros(0, np.uint64)
