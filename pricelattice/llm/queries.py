@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from . import bpe, licenses, mixing, neardup, sharding, vectors
+from . import bpe, licenses, mixing, neardup, quality, sharding, vectors
 
 QUERIES = {
     "op1_source_mixing": mixing.query,
     "op2_minhash_neardup": neardup.query,
     "op4_license_scan": licenses.query,
     "op5_exact_topk": vectors.query_topk,
+    "op6_quality_classifier": quality.query,
     "op7_block_nn": vectors.query_nearest,
     "op8_bpe": bpe.query,
     "op10_jump_sharding": sharding.query,
