@@ -1,10 +1,56 @@
-"""The corpus pipeline: stages over documents, each written and read again by the caller or by run()."""
+"""The corpus pipeline: quality, near-duplicates, personal data, mixing, encoding; each stage works on what the last one kept."""
 
 from __future__ import annotations
 
-STAGES: list = []
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from pricelattice.llm import bpe, mixing, neardup, pii, quality
+from pricelattice.llm.common import Work, table
+
+
+def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the classifier does not reject."""
+    return quality.keep_quality(docs, table(spark, sf_dir, "labels"))
+
+
+def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document, that of smallest id, of each group linked by five-word shingles at 0.8 or more."""
+    return neardup.drop_near_duplicates(docs, shingle=5, num=80, den=100)
+
+
+def pii_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The documents with personal data replaced by its kind, and n_chars as it is then."""
+    return pii.redact(docs).withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
+
+
+def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Each document as often as the mix of its source repeats it."""
+    return mixing.mix_documents(docs)
+
+
+def encoding_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token ids of every whole text, with their number and the text they decode to."""
+    out = bpe.encode_documents(docs, bpe.vocabulary(), keep=("doc_id", "lang", "source"))
+    return out.withColumn("n_tokens", F.size("ids").cast("long"))
+
+
+STAGES = [
+    ("quality classifier", quality_stage),
+    ("MinHash near-dedup", near_duplicate_stage),
+    ("PII", pii_stage),
+    ("mixing sources", mixing_stage),
+    ("BPE encoding", encoding_stage),
+]
+
+#: A trained classifier decides in the first stage; tests hold each stage against a plain version instead.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over documents, each written to the shared folder and read again."""
+    work = Work(spark, "pipeline")
+    docs = table(spark, sf_dir, "documents")
+    for name, stage in STAGES[:-1]:
+        docs = work.table(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+    return STAGES[-1][1](spark, docs, sf_dir)

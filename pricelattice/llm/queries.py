@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, licenses, mixing, neardup, quality, sharding, vectors
+from . import bpe, licenses, mixing, neardup, pii, quality, sharding, vectors
 
 QUERIES = {
     "op1_source_mixing": mixing.query,
@@ -12,6 +12,7 @@ QUERIES = {
     "op6_quality_classifier": quality.query,
     "op7_block_nn": vectors.query_nearest,
     "op8_bpe": bpe.query,
+    "op9_pii": pii.query,
     "op10_jump_sharding": sharding.query,
 }
 SQL = {"op1_source_mixing": mixing.SQL, "op2_minhash_neardup": neardup.SQL, "op5_exact_topk": vectors.SQL_TOPK, "op7_block_nn": vectors.SQL_NEAREST}
