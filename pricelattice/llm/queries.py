@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from . import bpe, licenses, mixing, neardup, pii, quality, sharding, vectors
+from . import bpe, licenses, mixing, neardup, pii, quality, sharding, substrings, vectors
 
 QUERIES = {
     "op1_source_mixing": mixing.query,
     "op2_minhash_neardup": neardup.query,
+    "op3_suffix_dedup": substrings.query,
     "op4_license_scan": licenses.query,
     "op5_exact_topk": vectors.query_topk,
     "op6_quality_classifier": quality.query,
