@@ -25,8 +25,14 @@ def strip_accents(c: Column) -> Column:
     return F.regexp_replace(F.translate(c, ACCENTED, PLAIN), r"\p{Mn}", "")
 
 
-def _keep_if_any(new: Column, old: Column) -> Column:
-    return F.when(F.length(new) > 0, new).otherwise(old)
+def bind(c: Column, f) -> Column:
+    """f of c, with c worked out once however often f names it."""
+    return F.element_at(F.transform(F.array(c), f), 1)
+
+
+def _keep_if_any(old: Column, step) -> Column:
+    """step(old), or old where that would leave nothing."""
+    return bind(old, lambda x: bind(step(x), lambda new: F.when(F.length(new) > 0, new).otherwise(x)))
 
 
 def canonical(c: Column) -> Column:
@@ -263,9 +269,9 @@ def title_words(c: Column) -> Column:
     A step that would leave nothing is not taken.
     """
     s = F.lower(F.regexp_replace(strip_accents(F.regexp_replace(c, EMOJI, "")), "['’‘]", ""))
-    s = _keep_if_any(squeeze(F.regexp_replace(s, r"\s*\([^)]*\)\s*", " ")), s)
+    s = _keep_if_any(s, lambda x: squeeze(F.regexp_replace(x, r"\s*\([^)]*\)\s*", " ")))
     for p in (r"\s+\d+([.,]\d+)?\s*(cl|ml|dl)\s*$", r"\s+\d+\s*(pcs?|pieces?|stuks?|st\.?)\s*$", r"^\d+\s*(x|stuks?|pcs|pieces?|st)\s+", r"^\d+[\s\-.):]+\s*"):
-        s = _keep_if_any(F.trim(F.regexp_replace(s, p, "")), s)
+        s = _keep_if_any(s, lambda x, p=p: F.trim(F.regexp_replace(x, p, "")))
     return squeeze(F.regexp_replace(s, r"[^\p{L}\p{N}\s]", " "))
 
 
@@ -273,12 +279,18 @@ def title_key(title: Column, category: Column | None = None) -> Column:
     """Words of a title in order of the alphabet, without a leading category, and without filler if two are left."""
     w = F.split(title_words(title), r"\s+")
     if category is not None:
-        c = words(F.coalesce(title_words(category), F.lit("")))
-        n = F.size(c)
-        w = F.when((n > 0) & (n < F.size(w)) & (F.slice(w, 1, F.greatest(n, F.lit(1))) == c), F.slice(w, n + 1, F.size(w))).otherwise(w)
-    w = F.array_sort(w)
-    real = F.filter(w, lambda t: ~among(t, dims.TITLE_STOPWORDS))
-    return F.array_join(F.when(F.size(real) >= 2, real).otherwise(w), " ")
+
+        def without(w: Column, c: Column) -> Column:
+            n = F.size(c)
+            return F.when((n > 0) & (n < F.size(w)) & (F.slice(w, 1, F.greatest(n, F.lit(1))) == c), F.slice(w, n + 1, F.size(w))).otherwise(w)
+
+        w = bind(w, lambda x: bind(words(F.coalesce(title_words(category), F.lit(""))), lambda c: without(x, c)))
+
+    def key(w: Column) -> Column:
+        real = F.filter(w, lambda t: ~among(t, dims.TITLE_STOPWORDS))
+        return F.array_join(F.when(F.size(real) >= 2, real).otherwise(w), " ")
+
+    return bind(F.array_sort(w), key)
 
 
 # Links
