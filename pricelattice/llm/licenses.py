@@ -192,7 +192,7 @@ def rules():
     for priority, line in enumerate(x for x in RULES.strip().splitlines() if x.strip()):
         label, keyword, confidence, *patterns = (part.strip() for part in re.split(r" \| ", line))
         for p in patterns:
-            compiled = re.compile(r"(?<![a-z0-9])(?:" + p.replace("_", r"[\s,;:*#/-]+") + ")", re.DOTALL)
+            compiled = re.compile(r"(?<![a-z0-9])(?:" + p.replace("_", r"(?:[\s,;:*#/-]+)") + ")", re.DOTALL)
             by_keyword.setdefault(keyword, []).append((priority, label, float(confidence), compiled))
     matcher = ahocorasick.Automaton()
     for k in [*by_keyword, *(p.split()[-1] for p, _ in BASE)]:

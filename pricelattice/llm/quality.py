@@ -201,8 +201,9 @@ def score_quality(docs: DataFrame, model, text: str = "text", keep: tuple[str, .
 
 def keep_quality(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """docs without those that the classifier rejects."""
-    scored = score_quality(docs, fit(docs, labels), keep=tuple(docs.columns))
-    return scored.where(F.col("_score") >= threshold).drop("_score")
+    held = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_doc"), "text")
+    scored = score_quality(held, fit(docs, labels), keep=("_doc",))
+    return scored.where(F.col("_score") >= threshold).select(*[F.col(f"_doc.`{c}`").alias(c) for c in docs.columns])
 
 
 def query(spark, sf_dir: str) -> DataFrame:
