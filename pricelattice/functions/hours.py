@@ -89,3 +89,35 @@ def schema_text(text: Column) -> Column:
         return F.transform(span_days(a, F.coalesce(b, a)), lambda d: F.struct(d.alias("day"), F.lpad(start, 5, "0").alias("open"), F.lpad(end, 5, "0").alias("close")))
 
     return F.flatten(F.transform(F.filter(found, lambda x: day_of(x).isNotNull()), one))
+
+
+def section_hours(ranges: Column) -> Column:
+    """array<struct(dayRange, sectionHours: array<struct(startTime, endTime)>)>, minutes since midnight, to struct(day, open, close)."""
+
+    def one(r):
+        parts = F.split(r["dayRange"], " - ")
+        a, b = day_of(parts[0]), day_of(F.try_element_at(parts, F.lit(2)))
+        known = a.isNotNull() & ((F.size(parts) == 1) | b.isNotNull())
+        slot = F.filter(r["sectionHours"], lambda s: s["startTime"].isNotNull() & s["endTime"].isNotNull())
+        days = F.when(known, span_days(F.coalesce(a, F.lit("mon")), F.coalesce(b, a, F.lit("mon")))).otherwise(F.array().cast("array<string>"))
+        return F.flatten(F.transform(days, lambda d: F.transform(slot, lambda s: F.struct(d.alias("day"), from_minutes(s["startTime"]).alias("open"), from_minutes(s["endTime"]).alias("close")))))
+
+    return F.flatten(F.transform(ranges, one))
+
+
+def regular_hours(slots_: Column) -> Column:
+    """Slots whose fields go by several names to struct(day, open, close)."""
+    first = lambda s, names: F.coalesce(*[F.nullif(s[n], F.lit("")) for n in names])
+    out = F.transform(slots_, lambda s: F.struct(day_of(first(s, ("dayOfWeek", "day"))).alias("day"), F.substring(first(s, ("startTime", "open", "from")), 1, 5).alias("open"), F.substring(first(s, ("endTime", "close", "to")), 1, 5).alias("close")))
+    return F.filter(out, lambda s: s["day"].isNotNull() & s["open"].isNotNull() & s["close"].isNotNull())
+
+
+def by_day(slots_: Column) -> Column:
+    """struct(day, open, close) to map<day, slots>."""
+    of = lambda d: F.transform(F.filter(slots_, lambda s: s["day"] == d), lambda s: F.struct(s["open"].alias("open"), s["close"].alias("close")))
+    return F.map_filter(F.map_from_arrays(F.array(*[F.lit(d) for d in WEEK]), F.array(*[of(F.lit(d)) for d in WEEK])), lambda _, v: F.size(v) > 0)
+
+
+def freshness(age_minutes: Column) -> Column:
+    """How old a reading is, in words."""
+    return F.when(age_minutes < 90, "fresh").when(age_minutes < 180, "recent").otherwise("old")

@@ -137,6 +137,7 @@ def first_phone(text: Column) -> Column:
     return F.try_element_at(F.filter(F.transform(found, phone_e164), lambda p: p.isNotNull()), F.lit(1))
 
 
+# Fixed value: words that a street begins with.
 STREETS = r"^(?:rue|avenue|av|boulevard|bvd|bd|chaussee|ch[eé]e|dr[eè]ve|place|pl|square|sq|clos|impasse|all[eé]e|quai|passage|sentier|chemin|ch|dreve|ruelle|voie|cit[eé])\s+"
 
 
@@ -160,6 +161,7 @@ def places(name: Column, slugs: Column | None = None) -> Column:
     return F.filter(known, lambda p: F.exists(texts, lambda t: F.contains(t, p)))
 
 
+# Fixed value: texts that are captured in place of a name.
 JUNK = (
     r"(around\s+\d|environ\s+\d+\s*min|pre[\s-]?order\s+\d|pré[\s-]?commande\s+\d|article\s+offert|\bplats?\s+offert|\d+\s*plats?\s+achet"
     r"|profitez\s+de|\d+e?\s*à\s*moiti|\d+\s*%\s+off|-\s*\d+\s*%|•\s*à\s+partir|\d+e\s+à\s+moitié)"
@@ -293,7 +295,7 @@ def title_key(title: Column, category: Column | None = None) -> Column:
     return bind(F.array_sort(w), key)
 
 
-# Links
+# Links. Hosts that take orders, paths of menus, links that lead nowhere, sites of chains.
 ORDER_HOSTS = (
     r"(?i)sq-menu\.com|piki-app\.com|lightspeedrestaurant\.com|wixrestaurants\.com|flipdish\.|livepepper\.|obypay\.|foodbooking\.|orderyoyo\.|clickeat\."
     r"|square\.site|app\.orda\.io|orderingstack\.|yummyfood\.be|order\.me/|app\.fritzy\.be"
@@ -373,3 +375,59 @@ def saving_label(kind: Column, value: Column) -> Column:
         .when((kind == "abs_discount") & value.isNotNull(), F.concat(F.lit("€"), F.format_string("%.2f", value), F.lit(" off your order")))
         .when(kind == "free_delivery", "€0 delivery fee")
     )
+
+
+def word_overlap(a: Column, b: Column) -> Column:
+    """Common words over the longer list of words; 0 if either has none."""
+    x, y = F.array_distinct(words(name_words(a))), F.array_distinct(words(name_words(b)))
+    return F.when((F.size(x) > 0) & (F.size(y) > 0), F.size(F.array_intersect(x, y)) / F.greatest(F.size(x), F.size(y))).otherwise(0.0)
+
+
+def is_order_link(url: Column) -> Column:
+    """Whether a link leads to an order page of the merchant's own."""
+    return F.coalesce(url.rlike(r"(?i)order|commander|bestel|shop|menu|" + ORDER_HOSTS.removeprefix("(?i)")) & ~url.rlike(JUNK_LINKS), F.lit(False))
+
+
+def menu_code(url: Column) -> Column:
+    """The restaurant's code in a link: a path segment after /api/<type>/, else the own subdomain."""
+    host = F.regexp_replace(F.coalesce(F.lower(F.try_parse_url(url, F.lit("HOST"))), F.lit("")), r"^www\.", "")
+    path = F.nullif(F.regexp_extract(url, r"/api/[^/]+/([^/?#]+)", 1), F.lit(""))
+    return F.coalesce(path, F.when(F.size(F.split(host, r"\.")) > 2, F.split(host, r"\.")[0]))
+
+
+def shop_slug(url: Column) -> Column:
+    """The first path segment of a link."""
+    return F.nullif(F.regexp_extract(F.try_parse_url(url, F.lit("PATH")), r"^/([^/]+)", 1), F.lit(""))
+
+
+def strip_html(c: Column) -> Column:
+    return squeeze(F.regexp_replace(c, "<[^>]*>", " "))
+
+
+def zone(postal: Column) -> Column:
+    """The commune of a postal code alone."""
+    return commune(postal, F.lit(None).cast("string"))
+
+
+def commune_name(slug_: Column, dutch: bool = False) -> Column:
+    return F.try_element_at(F.create_map(*[F.lit(x) for c in dims.COMMUNES for x in (c[0], c[2 if dutch else 1])]), slug_)
+
+
+def canonical_url(base: str, *parts: Column) -> Column:
+    return F.concat_ws("/", F.lit(base.rstrip("/")), *parts)
+
+
+def basket_decode(c: Column) -> Column:
+    """"name:2,other:1" to array of struct(name, qty); the last colon parts, a quantity below 1 drops the entry."""
+    items = F.transform(F.split(c, ","), lambda p: F.struct(F.url_decode(F.regexp_extract(p, "^(.*):[^:]*$", 1)).alias("name"), F.regexp_extract(p, r":(\d+)[^:]*$", 1).try_cast("int").alias("qty")))
+    return F.filter(items, lambda i: (i["name"] != "") & (i["qty"] >= 1))
+
+
+def basket_encode(items: Column) -> Column:
+    return F.array_join(F.transform(items, lambda i: F.concat(F.url_encode(i["name"]), F.lit(":"), i["qty"].cast("string"))), ",")
+
+
+def is_cron(c: Column) -> Column:
+    """Five fields of numbers, ranges, steps and lists."""
+    field = r"(?:\*|\d+(?:-\d+)?)(?:/\d+)?(?:,(?:\*|\d+(?:-\d+)?)(?:/\d+)?)*"
+    return F.coalesce(F.trim(c).rlike("^" + r"\s+".join([field] * 5) + "$"), F.lit(False))

@@ -179,3 +179,31 @@ def best_title(queries: DataFrame, items: DataFrame, block: str | None = None) -
     pairs = pairs.where((F.col("q") == F.col("t")) | (F.col("sim") >= ALIKE))
     best = pairs.groupBy("query_id").agg(F.max(F.struct((F.col("q") == F.col("t")).alias("same"), F.col("sim"), (-F.col("position")).alias("p"), F.col("item"))).alias("m"))
     return best.select("query_id", F.col("m.item").alias("item"), F.col("m.sim").alias("sim"))
+
+
+def item_cheapest(dishes: DataFrame) -> DataFrame:
+    """Each dish with its cheapest platform, the first listed in a tie."""
+    offers = F.filter(F.array(*[F.struct(F.col(p).alias("c"), F.lit(k).alias("o"), F.lit(p).alias("platform")) for k, p in enumerate(dims.PLATFORMS)]), lambda x: x["c"].isNotNull())
+    return dishes.withColumn("cheapest", F.array_min(offers)["platform"])
+
+
+def decision_card(items: DataFrame, fees: DataFrame, key: str = "basket_id") -> DataFrame:
+    """Each basket's platforms in order of completeness and total, what the next best costs more in percent, and missing names."""
+    totals = basket_totals(items, fees, key)
+    lacking = items.select(key, "name", F.explode(F.array(*[F.struct(F.lit(p).alias("platform"), F.col(p).isNull().alias("gone")) for p in dims.PLATFORMS])).alias("x")).where("x.gone")
+    lacking = lacking.groupBy(key, F.col("x.platform").alias("platform")).agg(F.sort_array(F.collect_list("name")).alias("missing"))
+    from pyspark.sql import Window
+
+    w = Window.partitionBy(key).orderBy((~F.col("complete")), "total", "o")
+    out = totals.withColumn("place", F.row_number().over(w)).withColumn("best", F.first("total").over(w))
+    percent = F.when(F.col("total") > 0, geo.half_up((F.col("total") - F.col("best")) * 100 / F.col("total"))).otherwise(0)
+    return out.join(lacking, [key, "platform"], "left").select(key, "platform", "place", "total", "complete", percent.alias("saves_percent"), F.coalesce("missing", F.array().cast("array<string>")).alias("missing"))
+
+
+def corpus_audit(dishes: DataFrame, key: str = "restaurant_id") -> DataFrame:
+    """Shares of dishes on two, three and four platforms, over merchants with menus on two platforms or more."""
+    n = sum((F.col(p).isNotNull().cast("int") for p in dims.PLATFORMS), F.lit(0))
+    wide = sum((F.max(F.col(p).isNotNull().cast("int")) for p in dims.PLATFORMS), F.lit(0))
+    per = dishes.withColumn("n", n).groupBy(key).agg(F.count("*").alias("all"), *[F.count_if(F.col("n") >= k).alias(f"n{k}") for k in (2, 3, 4)], wide.alias("platforms")).where("platforms >= 2")
+    total = F.sum("all")
+    return per.agg(F.count("*").alias("merchants"), total.alias("dishes"), *[(F.sum(f"n{k}") / total).alias(f"share_{k}") for k in (2, 3, 4)])

@@ -130,3 +130,53 @@ def claim_errors(claims: DataFrame) -> DataFrame:
     """Claims that break a rule: an address without form, or neither a restaurant nor a free name."""
     mail = F.coalesce(F.col("owner_email").rlike(r"^[^@\s]+@[^@\s]+\.[^@\s]+$"), F.lit(False))
     return claims.where(~mail | (F.col("restaurant_id").isNull() & F.col("restaurant_name_free").isNull()))
+
+
+def settle_claims(claims: DataFrame, verdicts: DataFrame) -> DataFrame:
+    """verdicts (id, approve): approved claims are verified, rejected ones go."""
+    v = verdicts.select(F.col("id"), F.col("approve").alias("_v"))
+    out = claims.join(v, "id", "left").where(F.col("_v").isNull() | F.col("_v"))
+    return out.withColumn("verified", F.coalesce("_v", "verified")).select(*claims.columns)
+
+
+def resolve_decisions(decisions: DataFrame, resolved: DataFrame, at: Column) -> DataFrame:
+    """resolved (id, status, resolved_by) put in; decisions without a loser go."""
+    r = resolved.select("id", F.col("status").alias("_s"), F.col("resolved_by").alias("_by"))
+    out = decisions.where("loser_id is not null").join(r, "id", "left")
+    hit = F.col("_s").isNotNull()
+    changed = {"status": F.coalesce("_s", "status"), "resolved_by": F.coalesce("_by", "resolved_by"), "resolved_at": F.when(hit, at).otherwise(F.col("resolved_at"))}
+    return out.select(*[changed[c].alias(c) if c in changed else F.col(c) for c in decisions.columns])
+
+
+def prune_queue(decisions: DataFrame, rescored: DataFrame) -> DataFrame:
+    """Queued decisions whose pair (survivor_id, loser_id) is not `separate` by now."""
+    apart = rescored.where("decision = 'separate'").select(F.least("a", "b").alias("_a"), F.greatest("a", "b").alias("_b"))
+    key = decisions.withColumn("_a", F.least("survivor_id", "loser_id")).withColumn("_b", F.greatest("survivor_id", "loser_id"))
+    gone = key.where("status = 'queued'").join(apart, ["_a", "_b"], "left_semi").select("id")
+    return decisions.where("loser_id is not null").join(gone, "id", "left_anti")
+
+
+def raise_chains(restaurants: DataFrame, tokens: DataFrame, token: Column) -> DataFrame:
+    """is_chain set where the name's first word is a chain's; never unset."""
+    t = tokens.select(F.col("token").alias("_t")).distinct().withColumn("_hit", F.lit(True))
+    out = restaurants.withColumn("_k", token).join(t, F.col("_k") == F.col("_t"), "left")
+    return out.withColumn("is_chain", F.coalesce("is_chain", F.lit(False)) | F.coalesce("_hit", F.lit(False))).select(*restaurants.columns)
+
+
+def direct_listings(restaurants: DataFrame, at: Column, kind) -> DataFrame:
+    """A direct listing of each restaurant that has an order link; kind gives its type from link and phone."""
+    own = restaurants.where(F.col("order_url").isNotNull())
+    return own.select(F.col("id").alias("restaurant_id"), F.lit("direct").alias("platform"), F.col("order_url").alias("url"), kind(F.col("order_url"), F.col("phone")).alias("url_type"), F.lit(True).alias("is_available"), at.alias("last_scraped_at"))
+
+
+def reload(rows: DataFrame, path: str, keys: list[str], blank: tuple[str, ...] = ()) -> None:
+    """A table replaced as a whole: empty texts become null, a key stands once."""
+    out = rows
+    for c in blank:
+        out = out.withColumn(c, F.nullif(F.trim(c), F.lit("")))
+    out.dropDuplicates(keys).write.mode("overwrite").parquet(path)
+
+
+def write_report(scored: DataFrame, path: str) -> None:
+    """A dry run's pairs as JSON, the highest score first."""
+    scored.orderBy(F.col("total").desc(), "a", "b").write.mode("overwrite").json(path)

@@ -104,3 +104,59 @@ def priority_queue(rows: DataFrame, at: str, tie: str, limit: int | None = None,
     out = rows.orderBy(F.col(at).asc_nulls_first(), tie)
     out = out.offset(offset) if offset else out
     return out if limit is None else out.limit(limit)
+
+
+def feed_order(rows: DataFrame, mode: str = "cheapest") -> DataFrame:
+    """Open first, the closed by their next opening; then platforms, a direct site, and the mode's own order; id ends ties.
+
+    rows: closed_rank (hours.closed_rank), platform_count, direct_url_type, savings, eta_min, id.
+    """
+    inner = [F.coalesce("savings", F.lit(0)).desc()] if mode == "cheapest" else [F.col("eta_min").asc_nulls_last()]
+    open_ = F.col("closed_rank") == 0
+    return rows.orderBy("closed_rank", F.when(open_, -F.col("platform_count")).otherwise(0), F.when(open_ & F.col("direct_url_type").isNotNull(), 0).otherwise(1), *inner, "id")
+
+
+def savings_examples(listings: DataFrame, least: int = 50, top: int = 5, key: str = "restaurant_id") -> DataFrame:
+    """Restaurants with a direct listing whose two lowest fees differ enough, the widest first."""
+    direct = listings.groupBy(key).agg(F.bool_or(F.col("platform") == "direct").alias("d"), F.count("*").alias("n")).where("d and n >= 2").select(key)
+    best = cheapest(listings, key=key).where((F.col("offers") >= 2) & (F.col("savings") >= least))
+    return best.join(direct, key, "left_semi").orderBy(F.col("savings").desc(), key).limit(top)
+
+
+def best_saving(listings: DataFrame, key: str = "restaurant_id") -> DataFrame:
+    """The restaurant that saves most, the first by id in a tie."""
+    return cheapest(listings, key=key).where("savings > 0").orderBy(F.col("savings").desc(), key).limit(1)
+
+
+def best_value(summary: DataFrame, top: int = 6) -> DataFrame:
+    return summary.where("savings > 0").orderBy(F.col("savings").desc(), "id").limit(top)
+
+
+def direct_winners(listings: DataFrame, key: str = "restaurant_id") -> DataFrame:
+    return cheapest(listings, key=key).where("cheapest_platform = 'direct' and savings > 0")
+
+
+def page(rows: DataFrame, column: str, value: str, least: int = 3) -> DataFrame:
+    """Rows of a commune or cuisine by saving, none if there are too few."""
+    own = rows.where(F.col(column) == value)
+    n = own.agg(F.count("*").alias("_n"))
+    return own.join(F.broadcast(n)).where(F.col("_n") >= least).drop("_n").orderBy(F.col("savings").desc(), "id")
+
+
+def tiles(listings: DataFrame, key: str = "restaurant_id") -> DataFrame:
+    """A card's listings as an array: direct first, then by fee, unknown fees last."""
+    item = F.struct((F.col("platform") != "direct").alias("o"), F.coalesce("fee_cents", F.lit(2**31 - 1)).alias("f"), platform_order(F.col("platform")).alias("p"), F.col("platform"))
+    return listings.groupBy(key).agg(F.transform(F.sort_array(F.collect_list(item)), lambda x: x["platform"]).alias("tiles"))
+
+
+def first_wins(rows: DataFrame, key: str, order: list[str]) -> DataFrame:
+    """The first row of each key in the order of zones and positions: an aggregate, so duplicates meet early."""
+    rest = [c for c in rows.columns if c != key and c not in order]
+    return rows.groupBy(key).agg(F.min(F.struct(*order)).alias("_o"), F.min_by(F.struct(*rest), F.struct(*order)).alias("_r")).select(key, *[F.col(f"_o.{c}") for c in order], *[F.col(f"_r.{c}") for c in rest])
+
+
+def scan_page(dishes: DataFrame, page_: int = 0, size: int = 10) -> DataFrame:
+    """Dishes by price spread, one page."""
+    known = F.filter(F.array(*[F.col(p) for p in dims.PLATFORMS]), lambda x: x.isNotNull())
+    out = dishes.withColumn("spread", F.array_max(known) - F.array_min(known)).where(F.size(known) >= 2)
+    return out.orderBy(F.col("spread").desc(), "dish_key").offset(page_ * size).limit(size)

@@ -93,3 +93,63 @@ def stale_runs(runs: DataFrame, as_of: Column, hours: int = 25) -> DataFrame:
     ok = runs.where("status = 'success'").groupBy("platform").agg(F.max("finished_at").alias("finished_at"))
     age = F.timestamp_diff("SECOND", F.col("finished_at"), as_of)
     return ok.withColumn("age_s", age).withColumn("stale", age > hours * 3600)
+
+
+def search(rows: DataFrame, needle: str = "", neighborhood: str | None = None, cuisine: str | None = None) -> DataFrame:
+    """Rows whose name holds the needle, case aside, in a neighbourhood and of a cuisine if given."""
+    out = rows.where(F.contains(F.lower("name"), F.lit(needle.lower()))) if needle else rows
+    out = out.where(F.col("neighborhood") == neighborhood) if neighborhood else out
+    return out.where(F.col("cuisine") == cuisine) if cuisine else out
+
+
+def by_category(items: DataFrame, needle: str = "", key: str = "restaurant_id") -> DataFrame:
+    """A menu's items under their category, "Other" for none."""
+    found = items.where(F.contains(F.lower("title"), F.lit(needle.lower()))) if needle else items
+    return found.groupBy(key, F.coalesce("category", F.lit("Other")).alias("category")).agg(F.sort_array(F.collect_list("title")).alias("titles"))
+
+
+def facets(rows: DataFrame, column: str, least: int = 1) -> DataFrame:
+    """Values with their counts, the most frequent first."""
+    return rows.where(F.col(column).isNotNull()).groupBy(column).agg(F.count("*").alias("n")).where(F.col("n") >= least).orderBy(F.col("n").desc(), column)
+
+
+def first_values(rows: DataFrame, column: str, n: int = 8) -> DataFrame:
+    return rows.where(F.coalesce(F.col(column), F.lit("")) != "").select(column).distinct().orderBy(column).limit(n)
+
+
+def run_metrics(samples: DataFrame, key: str = "run_id") -> DataFrame:
+    """Peak and mean memory of each run in whole megabytes, and its counters."""
+    return samples.groupBy(key).agg(F.max("ram_mb").alias("ram_peak"), F.floor(F.avg("ram_mb")).alias("ram_avg"), F.sum("errors").alias("errors"), F.count("*").alias("samples"))
+
+
+def shares(rows: DataFrame, column: str) -> DataFrame:
+    """Counts of each value and their share of all; the total is one row, joined, so no row is gathered."""
+    n = rows.groupBy(column).agg(F.count("*").alias("n"))
+    total = n.agg(F.sum("n").alias("total"))
+    return n.join(F.broadcast(total)).select(column, "n", (F.col("n") / F.col("total")).alias("share"))
+
+
+def extremes(listings: DataFrame, key: str = "restaurant_id") -> DataFrame:
+    return listings.groupBy(key).agg(F.min("last_scraped_at").alias("oldest"), F.max("last_scraped_at").alias("newest"), F.min("eta_min").alias("fastest"))
+
+
+def review_queue(decisions: DataFrame, listings: DataFrame, fields: list[str]) -> DataFrame:
+    """Open decisions with the listings of both sides; listings are aggregated once."""
+    per = listings.groupBy("restaurant_id").agg(F.sort_array(F.collect_list(F.struct(*fields))).alias("l"))
+    out = decisions.where("status = 'queued'")
+    for side in ("survivor", "loser"):
+        out = out.join(per.select(F.col("restaurant_id").alias(f"{side}_id"), F.col("l").alias(f"{side}_listings")), f"{side}_id", "left")
+    return out
+
+
+def detail(restaurants: DataFrame, key: str) -> DataFrame:
+    """One restaurant by identifier, else by slug."""
+    import re
+
+    form = r"[0-9a-fA-F]{8}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{12}"
+    return restaurants.where(F.col("id" if re.fullmatch(form, key) else "slug") == key).limit(1)
+
+
+def pending(applied: DataFrame, available: DataFrame, name: str = "name") -> DataFrame:
+    """What is available and not applied yet, in order."""
+    return available.join(applied.select(name), name, "left_anti").orderBy(name)

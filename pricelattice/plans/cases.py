@@ -84,3 +84,12 @@ SEARCHES = [
     (6, "Pizza Vito", None, None, None, "takeaway", False, [("Pizza Vito", "u5", 50.8, 4.3, None)]),
     (7, "Pizza Vito", 50.84, 4.36, None, "takeaway", False, [("Pizza Vito", "u6", 50.9, 4.36, None)]),
 ]
+
+KNOWN = [(1, "Burger King", "https://burgerking.be"), (2, "Le Pain Quotidien - Sablon", None), (3, "Café Olé", "https://www.ole.be"), (4, "Wok House", None)]
+INCOMING = [(10, "Burger King", None), (11, "BURGER KING", None), (12, "Anything", "http://ole.be/menu"), (13, "Burger King - Ixelles", None), (14, "Le Pain Quotidien", None), (15, "Cafe Ole", None), (16, "Nobody", None), (17, "-10 %", None)]
+
+STORES = [
+    (0, json.dumps({"fareInfo": {"minimumOrder": 1500}, "phoneNumber": " 02 1 ", "location": {"address": {"streetAddress": "Rue A 1", "postalCode": "1000"}}, "heroImageUrls": [{"url": "h"}]})),
+    (1, json.dumps({"minimumOrder": 0, "meta": {"minSpend": 990}, "contactInfo": {"phone": "x"}, "location": {"streetAddress": "B 2", "zip": "1050"}, "imageUrl": "i"})),
+    (2, json.dumps({"location": {"address": "C 3"}})),
+]

@@ -556,3 +556,73 @@ def top_of_nearest(spark, d):
     """Of the twenty nearest the three that save most."""
     p = places(spark, d).withColumn("m", geo.haversine_m(F.col("lat"), F.col("lng"), F.lit(50.85), F.lit(4.35))).withColumn("gain", (F.col("id") * 37 % 101).cast("int"))
     return rank.top_of_nearest(p, "m", 20, "gain", 3, "id").select("id", "gain")
+
+
+@query(f"WITH {LISTINGS} SELECT restaurant_id, list_transform(list(struct_pack(o := platform <> 'direct', f := coalesce(fee_cents, 2147483647), p := {ORDER}, n := platform) ORDER BY platform <> 'direct', fee_cents, {ORDER}), lambda x: x.n)[1] AS first_tile FROM l GROUP BY 1")
+def card_tiles(spark, d):
+    """The first tile of each card."""
+    return rank.tiles(listings(spark, d)).select("restaurant_id", F.col("tiles")[0].alias("first_tile"))
+
+
+@query(f"WITH {LISTINGS}, f AS (SELECT * FROM l), {CHEAPEST}, x AS (SELECT restaurant_id FROM l GROUP BY 1 HAVING bool_or(platform = 'direct') AND count(*) >= 2) SELECT restaurant_id, (s[2].fee - s[1].fee)::INT AS savings FROM c WHERE restaurant_id IN (SELECT restaurant_id FROM x) AND len(s) >= 2 AND s[2].fee - s[1].fee >= 50 ORDER BY savings DESC, restaurant_id LIMIT 5")
+def savings_examples(spark, d):
+    """The five widest savings of merchants with a direct listing."""
+    return rank.savings_examples(listings(spark, d)).select("restaurant_id", "savings")
+
+
+@query("WITH n AS (SELECT event_type AS outcome, count(*) AS n FROM events GROUP BY 1) SELECT outcome, n, round(n / (SELECT sum(n) FROM n), 12) AS share FROM n")
+def outcome_shares(spark, d):
+    """Shares of outcomes."""
+    out = reads.shares(read(spark, d, "events").withColumnRenamed("event_type", "outcome"), "outcome")
+    return out.withColumn("share", F.round("share", 12))
+
+
+@query("SELECT p_brand AS cuisine, count(*) AS n FROM part GROUP BY 1 HAVING count(*) >= 2")
+def cuisine_facets(spark, d):
+    """Cuisines with two merchants or more."""
+    return reads.facets(restaurants(spark, d), "cuisine", 2)
+
+
+@query("SELECT DISTINCT p_brand AS cuisine FROM part ORDER BY 1 LIMIT 8")
+def first_cuisines(spark, d):
+    """The first eight cuisines."""
+    return reads.first_values(restaurants(spark, d), "cuisine")
+
+
+@query(f"WITH {OFFERS} SELECT restaurant_id, min(struct_pack(z := eta_min, i := id)).i AS id FROM o GROUP BY 1")
+def first_zone_wins(spark, d):
+    """The first capture in the order of zones."""
+    return rank.first_wins(offers(spark, d).select("restaurant_id", "eta_min", "id", "platform"), "restaurant_id", ["eta_min", "id"]).select("restaurant_id", "id")
+
+
+@query(f"WITH {DISHES} SELECT count(*) AS merchants, sum(a)::BIGINT AS dishes, round(sum(n2) / sum(a), 12) AS share_2, round(sum(n3) / sum(a), 12) AS share_3, round(sum(n4) / sum(a), 12) AS share_4 FROM (SELECT restaurant_id, count(*) AS a, count_if(len({_ALL4}) >= 2) AS n2, count_if(len({_ALL4}) >= 3) AS n3, count_if(len({_ALL4}) >= 4) AS n4, (count(uber_eats) > 0)::INT + (count(deliveroo) > 0)::INT + (count(takeaway) > 0)::INT + (count(direct) > 0)::INT AS p FROM dish GROUP BY 1) WHERE p >= 2")
+def corpus_audit(spark, d):
+    """Shares of dishes by the number of their platforms."""
+    out = compare.corpus_audit(_dishes(spark, d))
+    return out.select("merchants", "dishes", *[F.round(f"share_{k}", 12).alias(f"share_{k}") for k in (2, 3, 4)])
+
+
+@query(f"WITH {DISHES}, u AS (SELECT dish, restaurant_id, unnest([struct_pack(c := uber_eats, o := 0, p := 'uber_eats'), struct_pack(c := deliveroo, o := 1, p := 'deliveroo'), struct_pack(c := takeaway, o := 2, p := 'takeaway'), struct_pack(c := direct, o := 3, p := 'direct')]) AS x FROM dish) SELECT restaurant_id, dish, arg_min(x.p, struct_pack(c := x.c, o := x.o)) AS cheapest FROM u WHERE x.c IS NOT NULL GROUP BY 1, 2")
+def item_cheapest(spark, d):
+    """The cheapest platform of each dish."""
+    return compare.item_cheapest(_dishes(spark, d)).select("restaurant_id", "dish", "cheapest")
+
+
+@query("SELECT c_custkey AS id, c_nationkey % 3 = 0 AS is_chain FROM customer WHERE contains(lower(c_name), '00001')")
+def search_rows(spark, d):
+    """Rows whose name holds a text."""
+    c = read(spark, d, "customer").select(F.col("c_custkey").alias("id"), F.col("c_name").alias("name"), (F.col("c_nationkey") % 3 == 0).alias("is_chain"))
+    return reads.search(c, "00001").drop("name")
+
+
+@query()
+def identity_cascade(spark, d):
+    """Whom incoming names mean."""
+    k = spark.createDataFrame(cases.KNOWN, "id int, name string, website string")
+    return resolve.identify(spark.createDataFrame(cases.INCOMING, "id int, name string, website string"), k)
+
+
+@query()
+def store_details(spark, d):
+    """Least order, phone, address and picture of stores."""
+    return payloads.store_details(spark.createDataFrame(cases.STORES, "id int, payload string"))

@@ -212,3 +212,42 @@ def seed_listings(rows: DataFrame) -> DataFrame:
     count = F.regexp_replace(known("reviewCount"), r"[^0-9]", "").try_cast("int")
     free = F.lower(known("deliveryFee")).rlike("free|offert|gratuit|gratis")
     return rows.select("name", "url", text.rating(known("rating")).alias("rating"), count.alias("review_count"), text.eta(known("eta")).alias("eta_min"), F.when(free, 0.0).otherwise(text.menu_price(known("deliveryFee"))).alias("delivery_fee"))
+
+
+def store_details(rows: DataFrame, key: str = "id", payload: str = "payload") -> DataFrame:
+    """Least order, phone, address and picture of a store, wherever its payload holds them; money in cents."""
+    at = lambda *paths: F.coalesce(*[F.nullif(F.trim(F.get_json_object(payload, f"$.{p}")), F.lit("")) for p in paths])
+    cents = [F.get_json_object(payload, f"$.{p}").try_cast("double") for p in ("minimumOrder", "minOrderAmount", "fareInfo.minimumOrder", "fareInfo.minOrder", "feeInfo.minimumOrder", "deliveryFee.minimumSubtotal", "meta.minSpend")]
+    street = at("location.address.streetAddress", "location.address.address1", "location.address.street", "location.streetAddress", "location.address1", "location.street")
+    plain = F.when(~F.coalesce(F.get_json_object(payload, "$.location.address"), F.lit("{")).startswith("{"), at("location.address"))
+    return rows.select(
+        key,
+        F.round(F.coalesce(*[F.when(c > 0, c) for c in cents]) / 100, 2).alias("min_order"),
+        at("phoneNumber", "phone", "contactInfo.phoneNumber", "contactInfo.phone", "location.phoneNumber").alias("phone"),
+        F.coalesce(street, plain).alias("street_address"),
+        at("location.address.postalCode", "location.address.postal_code", "location.address.zipCode", "location.address.zip", "location.postalCode", "location.postal_code", "location.zipCode", "location.zip").alias("postal_code"),
+        at("heroImageUrls[0].url", "thumbnailImageUrls[0].url", "coverImageUrls[0].url", "trackingImageUrl", "imageUrl").alias("image_url"),
+    )
+
+
+def store_promotions(rows: DataFrame, key: str = "id", payload: str = "payload") -> DataFrame:
+    """Promotions of a store from three places, by label; a number that a payload gives stands before one read from the label."""
+    item = "struct<text:string,title:string,label:string,value:double,minOrder:double>"
+    lists = [F.coalesce(F.from_json(F.get_json_object(payload, f"$.{p}"), f"array<{item}>"), F.array().cast(f"array<{item}>")) for p in ("promotions", "offers", "signposts")]
+    p = rows.select(key, F.posexplode(F.concat(*lists)).alias("pos", "p"))
+    p = p.withColumn("label", F.trim(F.coalesce("p.label", "p.title", "p.text"))).where("coalesce(label, '') <> ''")
+    first = p.groupBy(key, F.lower("label").alias("_l")).agg(F.min_by(F.struct("label", "p"), "pos").alias("f")).select(key, "f.label", "f.p", text.promotion(F.col("f.label")).alias("c"))
+    return first.select(key, "label", "c.promo_type", F.coalesce("p.value", "c.value").alias("value"), F.coalesce("p.minOrder", "c.min_order").alias("min_order"))
+
+
+def page_promotions(page: Column) -> Column:
+    """Texts of a page that promise something, tags aside, each once."""
+    lines = F.transform(F.split(F.regexp_replace(page, "<[^>]+>", "\n"), "\n+"), F.trim)
+    return F.array_distinct(F.filter(lines, lambda x: (F.length(x).between(4, 120)) & (text.promotion(x)["promo_type"] != "other")))
+
+
+def venue_point(lat: Column, lng: Column) -> Column:
+    """struct(lat, lng) inside the region, else null."""
+    from ..functions import geo
+
+    return F.when(geo.in_region(lat, lng), F.struct(lat.alias("lat"), lng.alias("lng")))
