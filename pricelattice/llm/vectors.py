@@ -162,9 +162,25 @@ ASKED = "pivot int, salt int, lo double, hi double, qwidth int, q_ids binary, q_
 
 
 def _ask(pivots: np.ndarray, cells: dict[int, tuple[int, float]]):
-    """Blocks to their queries, once for each (pivot, salt), with the distances where answers can lie."""
+    """Blocks to their queries, gathered to blocks of their own, once for each (pivot, salt), with the distances where answers can lie."""
+
+    def ask(parts):
+        width = max(q.shape[1] for _, q, _ in parts)
+        i, f = np.concatenate([p[0] for p in parts]), np.concatenate([p[2] for p in parts])
+        q = np.concatenate([np.pad(p[1], ((0, 0), (0, width - p[1].shape[1]))) for p in parts])
+        d = distances(q, pivots)
+        own = {"qwidth": pa.array([width], pa.int32()), **{c: pa.array([x.tobytes()], pa.binary()) for c, x in (("q_ids", i), ("q_v", q), ("floor", f))}}
+        for pivot, (salts, norm) in cells.items():
+            reach = _reach(q, f, norm)
+            live = reach >= 0
+            if live.any():
+                lo, hi = float((d[:, pivot] - reach)[live].min()), float((d[:, pivot] + reach)[live].max())
+                far = {"lo": pa.array([lo]), "hi": pa.array([hi]), **own, "q_dist": pa.array([d[:, pivot].tobytes()], pa.binary())}
+                for salt in range(salts):
+                    yield _block({"pivot": pa.array([pivot], pa.int32()), "salt": pa.array([salt], pa.int32()), **far})
 
     def run(batches):
+        parts, size = [], 0
         for batch in batches:
             for row in batch.to_pylist():
                 ids = np.frombuffer(row["q_ids"], np.int64)
@@ -172,18 +188,13 @@ def _ask(pivots: np.ndarray, cells: dict[int, tuple[int, float]]):
                 floor = np.frombuffer(row["floor"], np.int64)
                 step = max(1, QUERIES // (8 * max(1, row["width"])))
                 for at in range(0, len(ids), step):
-                    i, q, f = ids[at : at + step], v[at : at + step], floor[at : at + step]
-                    d = distances(q, pivots)
-                    for pivot, (salts, norm) in cells.items():
-                        reach = _reach(q, f, norm)
-                        if not (reach >= 0).any():
-                            continue
-                        lo, hi = float((d[:, pivot] - reach)[reach >= 0].min()), float((d[:, pivot] + reach)[reach >= 0].max())
-                        for salt in range(salts):
-                            yield _block({
-                                "pivot": pa.array([pivot], pa.int32()), "salt": pa.array([salt], pa.int32()), "lo": pa.array([lo]), "hi": pa.array([hi]), "qwidth": pa.array([row["width"]], pa.int32()),
-                                "q_ids": pa.array([i.tobytes()], pa.binary()), "q_v": pa.array([q.tobytes()], pa.binary()), "floor": pa.array([f.tobytes()], pa.binary()), "q_dist": pa.array([d[:, pivot].tobytes()], pa.binary()),
-                            })
+                    parts.append((ids[at : at + step], v[at : at + step], floor[at : at + step]))
+                    size += 8 * max(1, row["width"]) * len(parts[-1][0])
+                    if size >= QUERIES:
+                        yield from ask(parts)
+                        parts, size = [], 0
+        if parts:
+            yield from ask(parts)
 
     return run
 
@@ -198,16 +209,28 @@ def _reach(q: np.ndarray, floor: np.ndarray, norm: float) -> np.ndarray:
 
 
 def _search(k: int):
-    """Pairs (block, queries): each query looks at the annulus of sorted distances that its bound leaves."""
+    """Pairs (block, queries): each query looks at the annulus of sorted distances that its bound leaves.
+
+    What a task has found for a query so far raises its floor, and only its k best leave the task.
+    """
+
+    def flush(held):
+        ids = [np.full(len(x), q) for q, (x, _) in held.items()]
+        columns = [np.concatenate(c) if held else np.zeros(0, np.int64) for c in (ids, [x for x, _ in held.values()], [s for _, s in held.values()])]
+        return _block(dict(zip(("query_id", "vec_id", "score"), map(pa.array, columns), strict=True)))
 
     def run(batches):
+        held: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+        none = (np.zeros(0, np.int64), np.zeros(0, np.int64))
         for batch in batches:
-            out_q, out_x, out_s = [], [], []
             for r in range(batch.num_rows):
                 row = {c: batch.column(c)[r].as_py() for c in batch.schema.names}
                 ids, qi = np.frombuffer(row["ids"], np.int64), np.frombuffer(row["q_ids"], np.int64)
                 x, q = same_width(np.frombuffer(row["v"]).reshape(len(ids), row["width"]), np.frombuffer(row["q_v"]).reshape(len(qi), row["qwidth"]))
-                dist, qd, floor = np.frombuffer(row["dist"]), np.frombuffer(row["q_dist"]), np.frombuffer(row["floor"], np.int64)
+                dist, qd, floor = np.frombuffer(row["dist"]), np.frombuffer(row["q_dist"]), np.frombuffer(row["floor"], np.int64).copy()
+                for m, own in enumerate(qi.tolist()):
+                    if own in held and len(held[own][1]) == k:
+                        floor[m] = max(floor[m], held[own][1][-1])
                 reach = _reach(q, floor, row["norm"])
                 a = np.searchsorted(dist, qd - reach, "left")
                 b = np.searchsorted(dist, qd + reach, "right")
@@ -215,16 +238,19 @@ def _search(k: int):
                 if not len(live):
                     continue
                 lo, hi = int(a[live].min()), int(b[live].max())
-                p = products(q[live], x[lo:hi])
+                p, own = products(q[live], x[lo:hi]), ids[lo:hi]
                 for t, m in enumerate(live.tolist()):
-                    own = ids[lo:hi]
                     near = np.flatnonzero((p[t] >= floor[m]) & (own != qi[m]))
-                    top = near[smallest(-p[t][near], own[near], k)]
-                    out_q.append(np.full(len(top), qi[m]))
-                    out_x.append(own[top])
-                    out_s.append(p[t][top])
-            if out_q:
-                yield _block({"query_id": pa.array(np.concatenate(out_q)), "vec_id": pa.array(np.concatenate(out_x)), "score": pa.array(np.concatenate(out_s))})
+                    if len(near):
+                        old = held.get(int(qi[m]), none)
+                        xs, ss = np.concatenate([old[0], own[near]]), np.concatenate([old[1], p[t][near]])
+                        top = smallest(-ss, xs, k)
+                        held[int(qi[m])] = xs[top], ss[top]
+                if len(held) >= 50_000:
+                    yield flush(held)
+                    held = {}
+        if held:
+            yield flush(held)
 
     return run
 
