@@ -110,27 +110,41 @@ def products(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return a.astype(np.int64) @ b.astype(np.int64).T
 
 
-def _annuli(scale: float, every: int, k: int):
-    """Rows sorted by (pivot, dist) to blocks of one pivot, and in each the queries with the k-th score they reach there."""
+def _better(a: tuple, b: tuple) -> tuple[np.ndarray, np.ndarray]:
+    """The stronger of two floors (scores, ids): the higher score, of equal ones the smaller id."""
+    first = (a[0] > b[0]) | ((a[0] == b[0]) & (a[1] <= b[1]))
+    return np.where(first, a[0], b[0]), np.where(first, a[1], b[1])
+
+
+def floors(q_ids: np.ndarray, q: np.ndarray, ids: np.ndarray, x: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """For each query the score and id of its k-th best among x, itself left out; the least floor where x has fewer."""
+    score, at = np.full(len(q_ids), np.iinfo(np.int64).min), np.full(len(q_ids), np.iinfo(np.int64).max)
+    q, x = same_width(q, x)
+    for start in range(0, len(q_ids), 512):
+        p = products(q[start : start + 512], x)
+        for r, row in enumerate(p):
+            others = np.flatnonzero(ids != q_ids[start + r])
+            if len(others) >= k:
+                last = others[smallest(-row[others], ids[others], k)[-1]]
+                score[start + r], at[start + r] = row[last], ids[last]
+    return score, at
+
+
+def _annuli(scale: float, every: int, k: int, some_ids: np.ndarray, some: np.ndarray):
+    """Rows sorted by (pivot, dist) to blocks of one pivot, and in each the queries with a floor: the k-th best that
+    they reach in the block or in the sample."""
 
     def close(part: int, n: int, pivot: int, ids, rows, dist):
         v = _scaled(np.array(rows), scale) if len({len(r) for r in rows}) == 1 else _scaled(same(rows), scale)
         ids = np.array(ids, np.int64)
         asked = np.flatnonzero(ids % every == 0)
-        floor = np.full(len(asked), np.iinfo(np.int64).min)
-        for at in range(0, len(asked), 512):
-            some = asked[at : at + 512]
-            p = products(v[some], v)
-            for r, q in enumerate(some.tolist()):
-                others = p[r][ids != ids[q]]
-                if len(others) >= k:
-                    floor[at + r] = np.partition(others, len(others) - k)[len(others) - k]
+        floor, floor_id = _better(floors(ids[asked], v[asked], ids, v, k), floors(ids[asked], v[asked], some_ids, some, k))
         return _block(
             {
                 "block": pa.array([(part << 24) + n]), "pivot": pa.array([pivot], pa.int32()), "width": pa.array([v.shape[1]], pa.int32()),
                 "near": pa.array([float(min(dist))]), "far": pa.array([float(max(dist))]), "norm": pa.array([float((v**2).sum(axis=1).max())]),
                 "ids": pa.array([ids.tobytes()], pa.binary()), "v": pa.array([v.tobytes()], pa.binary()), "dist": pa.array([np.array(dist).tobytes()], pa.binary()),
-                "q_ids": pa.array([ids[asked].tobytes()], pa.binary()), "q_v": pa.array([v[asked].tobytes()], pa.binary()), "floor": pa.array([floor.tobytes()], pa.binary()),
+                "q_ids": pa.array([ids[asked].tobytes()], pa.binary()), "q_v": pa.array([v[asked].tobytes()], pa.binary()), "floor": pa.array([floor.tobytes()], pa.binary()), "floor_id": pa.array([floor_id.tobytes()], pa.binary()),
             }
         )
 
@@ -157,19 +171,19 @@ def _annuli(scale: float, every: int, k: int):
     return run
 
 
-ANNULI = "block long, pivot int, width int, near double, far double, norm double, ids binary, v binary, dist binary, q_ids binary, q_v binary, floor binary"
-ASKED = "pivot int, salt int, lo double, hi double, qwidth int, q_ids binary, q_v binary, floor binary, q_dist binary"
+ANNULI = "block long, pivot int, width int, near double, far double, norm double, ids binary, v binary, dist binary, q_ids binary, q_v binary, floor binary, floor_id binary"
+ASKED = "pivot int, salt int, lo double, hi double, qwidth int, q_ids binary, q_v binary, floor binary, floor_id binary, q_dist binary"
 
 
 def _ask(pivots: np.ndarray, cells: dict[int, tuple[int, float]]):
     """Blocks to their queries, gathered to blocks of their own, once for each (pivot, salt), with the distances where answers can lie."""
 
     def ask(parts):
-        width = max(q.shape[1] for _, q, _ in parts)
-        i, f = np.concatenate([p[0] for p in parts]), np.concatenate([p[2] for p in parts])
+        width = max(p[1].shape[1] for p in parts)
+        i, f, fi = (np.concatenate([p[c] for p in parts]) for c in (0, 2, 3))
         q = np.concatenate([np.pad(p[1], ((0, 0), (0, width - p[1].shape[1]))) for p in parts])
         d = distances(q, pivots)
-        own = {"qwidth": pa.array([width], pa.int32()), **{c: pa.array([x.tobytes()], pa.binary()) for c, x in (("q_ids", i), ("q_v", q), ("floor", f))}}
+        own = {"qwidth": pa.array([width], pa.int32()), **{c: pa.array([x.tobytes()], pa.binary()) for c, x in (("q_ids", i), ("q_v", q), ("floor", f), ("floor_id", fi))}}
         for pivot, (salts, norm) in cells.items():
             reach = _reach(q, f, norm)
             live = reach >= 0
@@ -185,10 +199,10 @@ def _ask(pivots: np.ndarray, cells: dict[int, tuple[int, float]]):
             for row in batch.to_pylist():
                 ids = np.frombuffer(row["q_ids"], np.int64)
                 v = np.frombuffer(row["q_v"]).reshape(len(ids), row["width"])
-                floor = np.frombuffer(row["floor"], np.int64)
+                floor, floor_id = np.frombuffer(row["floor"], np.int64), np.frombuffer(row["floor_id"], np.int64)
                 step = max(1, QUERIES // (8 * max(1, row["width"])))
                 for at in range(0, len(ids), step):
-                    parts.append((ids[at : at + step], v[at : at + step], floor[at : at + step]))
+                    parts.append(tuple(x[at : at + step] for x in (ids, v, floor, floor_id)))
                     size += 8 * max(1, row["width"]) * len(parts[-1][0])
                     if size >= QUERIES:
                         yield from ask(parts)
@@ -227,10 +241,12 @@ def _search(k: int):
                 row = {c: batch.column(c)[r].as_py() for c in batch.schema.names}
                 ids, qi = np.frombuffer(row["ids"], np.int64), np.frombuffer(row["q_ids"], np.int64)
                 x, q = same_width(np.frombuffer(row["v"]).reshape(len(ids), row["width"]), np.frombuffer(row["q_v"]).reshape(len(qi), row["qwidth"]))
-                dist, qd, floor = np.frombuffer(row["dist"]), np.frombuffer(row["q_dist"]), np.frombuffer(row["floor"], np.int64).copy()
+                dist, qd, floor, floor_id = np.frombuffer(row["dist"]), np.frombuffer(row["q_dist"]), np.frombuffer(row["floor"], np.int64).copy(), np.frombuffer(row["floor_id"], np.int64).copy()
                 for m, own in enumerate(qi.tolist()):
                     if own in held and len(held[own][1]) == k:
-                        floor[m] = max(floor[m], held[own][1][-1])
+                        x_, s_ = held[own][0][-1], held[own][1][-1]
+                        if s_ > floor[m] or (s_ == floor[m] and x_ < floor_id[m]):
+                            floor[m], floor_id[m] = s_, x_
                 reach = _reach(q, floor, row["norm"])
                 a = np.searchsorted(dist, qd - reach, "left")
                 b = np.searchsorted(dist, qd + reach, "right")
@@ -240,7 +256,7 @@ def _search(k: int):
                 lo, hi = int(a[live].min()), int(b[live].max())
                 p, own = products(q[live], x[lo:hi]), ids[lo:hi]
                 for t, m in enumerate(live.tolist()):
-                    near = np.flatnonzero((p[t] >= floor[m]) & (own != qi[m]))
+                    near = np.flatnonzero(((p[t] > floor[m]) | ((p[t] == floor[m]) & (own <= floor_id[m]))) & (own != qi[m]))
                     if len(near):
                         old = held.get(int(qi[m]), none)
                         xs, ss = np.concatenate([old[0], own[near]]), np.concatenate([old[1], p[t][near]])
@@ -264,7 +280,7 @@ def top_products(rows: DataFrame, every: int = 20, k: int = 20, scale: float = 6
     candidates each.
 
     Vectors are keyed by nearest pivot and distance to it and sorted into annuli of bounded bytes. A query first
-    reaches a score floor in its own annulus. Beyond a distance, no vector of the pivot's largest norm can reach the
+    reaches a floor, a score and an id, in its own annulus and in the index's sample. Beyond a distance, no vector of the pivot's largest norm can reach the
     floor: by the triangle inequality only annuli with |d(q, p) - d(x, p)| up to that are joined. The join is by
     pivot and salt, so a pivot with many rows is many tasks.
     """
@@ -273,16 +289,19 @@ def top_products(rows: DataFrame, every: int = 20, k: int = 20, scale: float = 6
     work = Work(spark, "topk")
     good = work.table(usable(rows, key, column, True), "vectors")
     sample = good.orderBy(F.xxhash64("id", F.lit(5)), "id").limit(SAMPLE).collect()
-    pivots = choose_pivots([_scaled(np.array(r.v, float), scale) for r in sample])
+    some = [_scaled(np.array(r.v, float), scale) for r in sample]
+    pivots = choose_pivots(some)
+    width = max((len(x) for x in some), default=1)
+    some = np.array([np.pad(x, (0, width - len(x))) for x in some]).reshape(len(some), width)
     keyed = good.mapInArrow(_assign(pivots, scale), "id long, v array<double>, pivot int, dist double")
     keyed = keyed.repartitionByRange("pivot", "dist", "id").sortWithinPartitions("pivot", "dist", "id")
-    blocks = work.table(keyed.mapInArrow(_annuli(scale, every, k), ANNULI), "annuli")
+    blocks = work.table(keyed.mapInArrow(_annuli(scale, every, k, np.array([r.id for r in sample], np.int64), some), ANNULI), "annuli")
     # One row for each pivot.
     cells = {r.pivot: (-(-r.n // SALT_BLOCKS), r.norm) for r in blocks.groupBy("pivot").agg(F.count("*").alias("n"), F.max("norm").alias("norm")).collect()}
-    asked = blocks.where(F.length("q_ids") > 0).select("width", "q_ids", "q_v", "floor").mapInArrow(_ask(pivots, cells), ASKED)
+    asked = blocks.where(F.length("q_ids") > 0).select("width", "q_ids", "q_v", "floor", "floor_id").mapInArrow(_ask(pivots, cells), ASKED)
     salts = F.element_at(F.create_map(*[F.lit(x) for p, (n, _) in cells.items() for x in (p, n)]), F.col("pivot")) if cells else F.lit(1)
     held = blocks.select("pivot", "width", "near", "far", "norm", "ids", "v", "dist", F.pmod(F.xxhash64("block"), salts).cast("int").alias("salt"))
-    pairs = held.join(asked, ["pivot", "salt"]).where("far >= lo and near <= hi").select("width", "qwidth", "norm", "ids", "v", "dist", "q_ids", "q_v", "floor", "q_dist")
+    pairs = held.join(asked, ["pivot", "salt"]).where("far >= lo and near <= hi").select("width", "qwidth", "norm", "ids", "v", "dist", "q_ids", "q_v", "floor", "floor_id", "q_dist")
     return best(pairs.mapInArrow(_search(k), RESULT.format("long")), k, F.col("score").desc())
 
 
