@@ -89,7 +89,7 @@ def text_buffer(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return buf[off[0] : off[-1]], off - off[0]
 
 
-def slices(batch: pa.RecordBatch, text: str, limit: int = 2 << 20):
+def slices(batch: pa.RecordBatch, text: str, limit: int = 1 << 20):
     """Parts of the batch with about limit bytes of text each; one longer text stands alone."""
     _, off = text_buffer(batch.column(text))
     at, n = 0, len(off) - 1
