@@ -369,7 +369,7 @@ def menu_avg_gap(spark, d):
 _ALL4 = "list_filter([uber_eats, deliveroo, takeaway, direct], lambda x: x IS NOT NULL)"
 
 
-@query(f"WITH {DISHES}, k AS (SELECT *, list_min({_ALL4}) AS low, list_max({_ALL4}) - list_min({_ALL4}) AS spread FROM dish WHERE len({_ALL4}) >= 2) SELECT restaurant_id, count(*) AS dishes, round(avg(spread), 6) AS mean_saving, max(spread) AS largest, {', '.join(f'count_if({p} = low)::BIGINT AS wins_{p}' for p in dims.PLATFORMS)} FROM k WHERE spread > 0 GROUP BY 1")
+@query(f"WITH {DISHES}, k AS (SELECT *, list_min({_ALL4}) AS low, list_max({_ALL4}) - list_min({_ALL4}) AS spread FROM dish WHERE len({_ALL4}) >= 2) SELECT restaurant_id, count(*) AS dishes, round(avg(spread), 6) AS mean_saving, max(spread) AS largest, {', '.join(f'count_if(coalesce({p} = low, FALSE))::BIGINT AS wins_{p}' for p in dims.PLATFORMS)} FROM k WHERE spread > 0 GROUP BY 1")
 def price_spread(spark, d):
     """Spreads and wins by platform."""
     return compare.price_spread(_dishes(spark, d)).withColumn("mean_saving", F.round("mean_saving", 6))
