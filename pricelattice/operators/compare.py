@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -20,21 +20,22 @@ def menu_rows(items: DataFrame) -> DataFrame:
     return items.withColumns({"base": text.title_key(F.col("title"), F.col("category")), "norm": text.title_words(F.col("title")), "shown": shown, "cents": geo.cents(F.col("price"))})
 
 
-def _pair_menu(pdf: pd.DataFrame) -> pd.DataFrame:
+def _pair_menu(items: list[dict]) -> list[dict]:
     """One restaurant's items to merged dishes, in platform order and position."""
     order = {p: k for k, p in enumerate(dims.PLATFORMS)}
-    pdf = pdf.assign(_o=pdf["platform"].map(order)).sort_values(["_o", "position", "title"], kind="stable")
     dishes: dict[str, dict] = {}
-    for r in pdf.itertuples():
-        slot, key = 1, r.base
-        while key in dishes and r.platform in dishes[key]["prices"]:
+    last = lambda x, least: (x is None, least if x is None else x)
+    at = lambda r: (order.get(r["platform"], len(order)), last(r["position"], 0), last(r["title"], ""), last(r["cents"], 0), last(r["category"], ""), r["allergens"] or [])
+    for r in sorted(items, key=at):
+        slot, key = 1, r["base"]
+        while key in dishes and r["platform"] in dishes[key]["prices"]:
             slot += 1
-            key = f"{r.base}::{slot}"
-        d = dishes.setdefault(key, {"name": r.shown, "norm": r.norm, "category": r.category, "prices": {}, "allergens": frozenset()})
-        if pd.notna(r.cents):
-            d["prices"][r.platform] = int(r.cents)
-        if not d["allergens"] and r.allergens is not None and len(r.allergens):
-            d["allergens"] = frozenset(a.lower() for a in r.allergens)
+            key = f"{r['base']}::{slot}"
+        d = dishes.setdefault(key, {"name": r["shown"], "norm": r["norm"], "category": r["category"], "prices": {}, "allergens": frozenset()})
+        if r["cents"] is not None:
+            d["prices"][r["platform"]] = int(r["cents"])
+        if not d["allergens"] and r["allergens"]:
+            d["allergens"] = frozenset(a.lower() for a in r["allergens"])
     merged: list[dict] = []
     waiting = list(dishes.items())
     gone: set[str] = set()
@@ -49,8 +50,19 @@ def _pair_menu(pdf: pd.DataFrame) -> pd.DataFrame:
             a["allergens"] = a["allergens"] or b["allergens"]
             gone.add(other)
         merged.append({"key": key, **a})
-    rid = pdf["restaurant_id"].iloc[0]
-    return pd.DataFrame([{"restaurant_id": rid, "dish_key": d["key"], "name": d["name"], "category": d["category"], **{p: d["prices"].get(p) for p in dims.PLATFORMS}} for d in merged]).astype({p: "Int32" for p in dims.PLATFORMS})
+    return merged
+
+
+def _pair_menus(batches):
+    """Batches of (restaurant_id, items) to dishes, a few menus at a time."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, 1000):
+            part = batch.slice(at, 1000)
+            found = [(k, d) for k, items in enumerate(part.column("items").to_pylist()) for d in _pair_menu(items)]
+            columns = [pa.array([d[c] for _, d in found], pa.string()) for c in ("key", "name", "category")]
+            prices = [pa.array([d["prices"].get(p) for _, d in found], pa.int32()) for p in dims.PLATFORMS]
+            rid = part.column("restaurant_id").take(pa.array([k for k, _ in found], pa.int64()))
+            yield pa.RecordBatch.from_arrays([rid, *columns, *prices], ["restaurant_id", "dish_key", "name", "category", *dims.PLATFORMS])
 
 
 def _alike(a: dict, b: dict) -> bool:
@@ -75,7 +87,8 @@ def pair_menus(items: DataFrame) -> DataFrame:
     size is bounded by a menu.
     """
     schema = "restaurant_id {}, dish_key string, name string, category string, ".format(dict(items.dtypes)["restaurant_id"]) + ", ".join(f"{p} int" for p in dims.PLATFORMS)
-    return menu_rows(items).groupBy("restaurant_id").applyInPandas(_pair_menu, schema)
+    rows = menu_rows(items).select("restaurant_id", F.struct("platform", "position", "title", "category", "base", "norm", "shown", "cents", "allergens").alias("i"))
+    return rows.groupBy("restaurant_id").agg(F.collect_list("i").alias("items")).mapInArrow(_pair_menus, schema)
 
 
 def pivot_menu(items: DataFrame) -> DataFrame:

@@ -29,3 +29,38 @@ def same_without(spark, name, cut):
 @pytest.mark.parametrize("name", ["basket_totals", "basket_coverage", "basket_direct_savings"])
 def test_every_order_is_a_basket(spark, name):
     same_without(spark, name, " WHERE l_orderkey % 7 = 0")
+
+
+def plain_menus():
+    """What menu_pairing gives, item by item: (order, dish, prices) over all lines, an order being a menu."""
+    from pricelattice.functions import dims
+    from pricelattice.functions.similarity import jaro_winkler
+
+    rows = duckdb.sql(f"SELECT l_orderkey, l_suppkey % 4, l_orderkey * 10 + l_linenumber, p_name, p_retailprice FROM '{SF}/lineitem.parquet' JOIN '{SF}/part.parquet' ON l_partkey = p_partkey ORDER BY 1, 2, 3, 4, 5").fetchall()
+    menus: dict = {}
+    for order, k, _, title, price in rows:
+        key, n, menu = " ".join(sorted(title.lower().split())), 1, menus.setdefault(order, {})
+        at = key
+        while dims.PLATFORMS[k] in menu.get(at, (None, {}))[1]:
+            n += 1
+            at = f"{key}::{n}"
+        menu.setdefault(at, (title.lower(), {}))[1][dims.PLATFORMS[k]] = int(price / 100 * 100 + 0.5)
+    out = []
+    for order, menu in menus.items():
+        left = [[key, name, prices] for key, (name, prices) in menu.items()]
+        while left:
+            key, name, prices = left.pop(0)
+            for other in list(left):
+                x, y = (next(p[c] for c in dims.PLATFORMS if c in p) for p in (prices, other[2]))
+                near = min(len(name), len(other[1])) / max(len(name), len(other[1])) >= 0.75 and jaro_winkler(name, other[1]) >= (0.78 if x == y else 0.88)
+                if near and not prices.keys() & other[2].keys() and abs(x - y) / max(x, y) <= 0.2:
+                    prices |= other[2]
+                    left.remove(other)
+            out.append((order, key, *(prices.get(c) for c in dims.PLATFORMS)))
+    return sorted(out, key=repr)
+
+
+def test_menus_pair_every_line(spark):
+    got = [(r.restaurant_id, r.dish_key, r.uber_eats, r.deliveroo, r.takeaway, r.direct) for r in plans.QUERIES["menu_pairing"](spark, SF).collect()]
+    assert sum(x is not None for r in got for x in r[2:]) == spark.read.parquet(f"{SF}/lineitem.parquet").count()
+    assert sorted(got, key=repr) == plain_menus()
