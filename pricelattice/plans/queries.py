@@ -107,9 +107,9 @@ def grid_neighbours(spark, d):
 @query(f"""WITH {PLACES}, q AS (SELECT id, lat, lng FROM p WHERE id % 10 = 0) SELECT q.id AS restaurant_id, p.id AS place_id, round({HAVERSINE.format(a='q', b='p')}, 3) AS metres FROM q JOIN p ON p.id <> q.id
  AND p.lat BETWEEN q.lat - 0.0015 AND q.lat + 0.0015 AND p.lng BETWEEN q.lng - 0.002 AND q.lng + 0.002""")
 def bbox_candidates(spark, d):
-    """A box of candidates around each tenth place, by cells and bounds."""
+    """A box of candidates around each place, by cells and bounds."""
     p = places(spark, d)
-    q = p.where("id % 10 = 0").select(F.col("id").alias("restaurant_id"), F.col("lat").alias("qa"), F.col("lng").alias("qo"))
+    q = p.select(F.col("id").alias("restaurant_id"), F.col("lat").alias("qa"), F.col("lng").alias("qo"))
     x = lambda c: F.floor(c / 0.0015)
     y = lambda c: F.floor(c / 0.002)
     q = q.withColumn("x", F.explode(F.sequence(x(F.col("qa")) - 1, x(F.col("qa")) + 1))).withColumn("y", F.explode(F.sequence(y(F.col("qo")) - 1, y(F.col("qo")) + 1)))
@@ -207,7 +207,7 @@ _W = dims.WEIGHTS
  SELECT a, b, total::DOUBLE AS total, CASE WHEN metres > 1000 AND NOT same_size THEN 'separate' WHEN total >= 3.5 AND (same_size OR metres <= 25) AND same_name THEN (CASE WHEN metres > 600 THEN 'queue' ELSE 'auto_merge' END) WHEN total >= 1.5 THEN 'queue' ELSE 'separate' END AS decision FROM t""")
 def evidence_bands(spark, d):
     """Evidence and decision over features of pairs within a brand."""
-    r = read(spark, d, "part").where("p_partkey % 4 = 0").select(F.col("p_partkey").alias("id"), "p_name", "p_brand", "p_type", "p_size")
+    r = read(spark, d, "part").select(F.col("p_partkey").alias("id"), "p_name", "p_brand", "p_type", "p_size")
     a, b = r.select(*[F.col(c).alias(f"{c}_a") for c in r.columns]), r.select(*[F.col(c).alias(f"{c}_b") for c in r.columns])
     no, none = F.lit(False), F.lit(None)
     j = a.join(b, F.col("p_brand_a") == F.col("p_brand_b")).where("id_a < id_b")

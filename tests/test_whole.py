@@ -14,7 +14,7 @@ from pricelattice.plans import queries as plans  # noqa: E402
 def same_without(spark, name, cut):
     """The query's rows are those of its SQL with the cut taken out."""
     con = duckdb.connect()
-    for t in ("part", "lineitem"):
+    for t in ("part", "lineitem", "embeddings"):
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{SF}/{t}.parquet'")
     r = con.sql(plans.SQL[name].replace(cut, ""))
     df = plans.QUERIES[name](spark, SF)
@@ -64,3 +64,8 @@ def test_menus_pair_every_line(spark):
     got = [(r.restaurant_id, r.dish_key, r.uber_eats, r.deliveroo, r.takeaway, r.direct) for r in plans.QUERIES["menu_pairing"](spark, SF).collect()]
     assert sum(x is not None for r in got for x in r[2:]) == spark.read.parquet(f"{SF}/lineitem.parquet").count()
     assert sorted(got, key=repr) == plain_menus()
+
+
+@pytest.mark.parametrize("name, cut", [("evidence_bands", " WHERE p_partkey % 4 = 0"), ("bbox_candidates", " WHERE id % 10 = 0")])
+def test_every_part_and_place(spark, name, cut):
+    same_without(spark, name, cut)
