@@ -69,3 +69,8 @@ def test_menus_pair_every_line(spark):
 @pytest.mark.parametrize("name, cut", [("evidence_bands", " WHERE p_partkey % 4 = 0"), ("bbox_candidates", " WHERE id % 10 = 0")])
 def test_every_part_and_place(spark, name, cut):
     same_without(spark, name, cut)
+
+
+@pytest.mark.parametrize("name", ["menu_avg_gap", "price_spread", "match_rate", "corpus_audit", "item_cheapest"])
+def test_every_line_has_a_price(spark, name):
+    same_without(spark, name, " WHERE l_linenumber = 1")
