@@ -135,3 +135,31 @@ def test_licenses_as_without_a_filter():
         low = t.encode().lower().decode()
         kept = licenses.settle([(m.start(), m.end(), r[0], r[1], r[2]) for r in every for m in r[3].finditer(low)])
         assert licenses.scan_text(t)["spans"] == [f"{d[3]}:{d[0]}:{d[1]}" for d in kept]
+
+
+def sequential(pairs):
+    out, used = [], set()
+    for _, a, b in sorted((-t, a, b) for a, b, t in pairs):
+        if not {a, b} & used:
+            used |= {a, b}
+            out.append((a, b))
+    return sorted(out)
+
+
+def test_merges_of_many_copies(spark):
+    from pricelattice.operators import resolve
+
+    pairs = [(a, b, 4.0) for a in range(200) for b in range(a + 1, 200)]
+    got = resolve.greedy_merges(spark.createDataFrame(pairs, "a int, b int, total double"))
+    assert sorted(map(tuple, got.collect())) == sequential(pairs) and len(sequential(pairs)) == 100
+
+
+def test_merges_by_joins(spark):
+    import random
+
+    from pricelattice.operators import resolve
+
+    r = random.Random(1)
+    pairs = [(a, b, r.choice([3.5, 4.0])) for a, b in {tuple(sorted(r.sample(range(40), 2))) for _ in range(120)}]
+    got = resolve.greedy_merges(spark.createDataFrame(pairs, "a int, b int, total double"), few=0)
+    assert sorted(map(tuple, got.collect())) == sequential(pairs)
