@@ -173,24 +173,37 @@ def kept_after_commission(subtotal: Column, rates: dict[str, float]) -> Column:
     return F.create_map(*[x for p, r in rates.items() for x in (F.lit(p), geo.half_up(subtotal * (1 - r)))])
 
 
+# Jaro-Winkler adds 0.4 (1 - Jaro) at most, so Jaro is 0.8 at least, and m letters in common give m/|q| + m/|t| + 1 >= 2.4.
+SHARED = 3 * (ALIKE - 0.4) / 0.6 - 1 - 1e-9
+SALTS = 8
+
+
 def best_title(queries: DataFrame, items: DataFrame, block: str | None = None) -> DataFrame:
     """For each query name the item of equal words, else the most alike: the first in order of position wins a tie.
 
-    Candidates share `block` (a restaurant, say) if given; else the first two letters of the words, or of their reverse.
+    Candidates share `block` (a restaurant, say) if given; else all distinct words of a length that LENGTHS allows are
+    candidates. Only pairs with as many letters in common as ALIKE implies are scored; no pair is lost.
     """
     from ..functions.similarity import title_similarity
 
-    q = queries.select("query_id", F.col("name").alias("q_name"), text.title_words(F.col("name")).alias("q"), *([block] if block else []))
-    i = items.select(F.col("name").alias("item"), "position", text.title_words(F.col("name")).alias("t"), *([block] if block else []))
+    own = [block] if block else []
+    letters = lambda c: F.transform(F.split(c, ""), lambda x, k: F.concat(x, F.size(F.filter(F.slice(F.split(c, ""), 1, k + 1), lambda y: y == x)).cast("string")))
+    named = queries.select("query_id", text.title_words(F.col("name")).alias("q"), *own)
+    q = named.select("q", *own).distinct().withColumn("q_letters", letters(F.col("q")))
+    i = items.select(F.struct((-F.col("position")).alias("p"), F.col("name").alias("item")).alias("first"), text.title_words(F.col("name")).alias("t"), *own)
+    i = i.groupBy("t", *own).agg(F.max("first").alias("first")).withColumn("t_letters", letters(F.col("t")))
     if block:
         pairs = q.join(i, block)
     else:
-        ends = lambda c: F.explode(F.array(F.concat(F.lit("<"), F.substring(c, 1, 2)), F.concat(F.lit(">"), F.substring(c, -2, 2))))
-        pairs = q.withColumn("_k", ends(F.col("q"))).join(i.withColumn("_k", ends(F.col("t"))), "_k").drop("_k").distinct()
+        n = F.length("q")
+        q = q.withColumn("_n", F.explode(F.sequence(F.ceil(n * LENGTHS), F.floor(n / LENGTHS)))).withColumn("_s", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        pairs = q.join(i.withColumn("_n", F.length("t").cast("long")).withColumn("_s", F.pmod(F.xxhash64("t"), F.lit(SALTS)).cast("int")), ["_n", "_s"])
     ratio = F.least(F.length("q"), F.length("t")) / F.greatest(F.length("q"), F.length("t"))
-    pairs = pairs.where((F.col("q") == F.col("t")) | (ratio >= LENGTHS)).withColumn("sim", title_similarity(F.col("q"), F.col("t")))
-    pairs = pairs.where((F.col("q") == F.col("t")) | (F.col("sim") >= ALIKE))
-    best = pairs.groupBy("query_id").agg(F.max(F.struct((F.col("q") == F.col("t")).alias("same"), F.col("sim"), (-F.col("position")).alias("p"), F.col("item"))).alias("m"))
+    common = F.size(F.array_intersect("q_letters", "t_letters"))
+    same = F.col("q") == F.col("t")
+    pairs = pairs.where(same | ((ratio >= LENGTHS) & (common / F.length("q") + common / F.length("t") >= SHARED))).withColumn("sim", title_similarity(F.col("q"), F.col("t")))
+    best = pairs.where(same | (F.col("sim") >= ALIKE)).groupBy("q", *own).agg(F.max(F.struct(same.alias("same"), F.col("sim"), F.col("first.p").alias("p"), F.col("first.item").alias("item"))).alias("m"))
+    best = named.join(best, ["q", *own]).groupBy("query_id").agg(F.max("m").alias("m"))
     return best.select("query_id", F.col("m.item").alias("item"), F.col("m.sim").alias("sim"))
 
 

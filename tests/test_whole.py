@@ -163,3 +163,35 @@ def test_merges_by_joins(spark):
     pairs = [(a, b, r.choice([3.5, 4.0])) for a, b in {tuple(sorted(r.sample(range(40), 2))) for _ in range(120)}]
     got = resolve.greedy_merges(spark.createDataFrame(pairs, "a int, b int, total double"), few=0)
     assert sorted(map(tuple, got.collect())) == sequential(pairs)
+
+
+def test_best_title_is_brute_force(spark):
+    import random
+
+    from pyspark.sql import functions as F
+
+    from pricelattice.functions import text
+    from pricelattice.functions.similarity import jaro_winkler
+    from pricelattice.operators import compare
+
+    r = random.Random(3)
+    names = ["pizza quattro formaggi", *{" ".join(r.choice(["pizza", "burger", "tagine", "lasagne", "risotto", "quiche"]) + r.choice(["", "s", "ino"]) for _ in range(r.choice([1, 2, 3]))) for _ in range(80)}]
+    wrong = lambda s: "".join(r.choice("xzk") if r.random() < 0.1 or k in (0, len(s) - 1) and r.random() < 0.5 else c for k, c in enumerate(s))
+    asked = ["bizza quattro formaggy", "", "zzz", *[wrong(r.choice(names)) for _ in range(200)]]
+    items = spark.createDataFrame([(n, k) for k, n in enumerate([*names, *names[:9]])], "name string, position int")
+    queries = spark.createDataFrame(list(enumerate(asked)), "query_id int, name string")
+    words = {x.name: x.w for x in items.select("name").union(queries.select("name")).withColumn("w", text.title_words(F.col("name"))).collect()}
+    want = {}
+    for k, n in enumerate(asked):
+        found = []
+        for at, item in enumerate([*names, *names[:9]]):
+            q, t = words[n], words[item]
+            sim = jaro_winkler(q, t)
+            if q == t or min(len(q), len(t)) / max(len(q), len(t)) >= compare.LENGTHS and sim >= compare.ALIKE:
+                found.append((q == t, sim, -at, item))
+        if found:
+            want[k] = max(found)[3], max(found)[1]
+    got = {x.query_id: (x.item, x.sim) for x in compare.best_title(queries, items).collect()}
+    assert got == want and want[0][0] == "pizza quattro formaggi"
+    one = lambda x: x.withColumn("place", F.lit(1))
+    assert {x.query_id: (x.item, x.sim) for x in compare.best_title(one(queries), one(items), "place").collect()} == want
