@@ -13,8 +13,6 @@ from .common import Work, ship, slices, table, with_fields
 
 #: Listed order of kinds; the first four are the base.
 KINDS = ("email", "ip", "card", "phone", "iban", "ssn", "mac", "secret", "person", "address")
-#: The span classifier is fitted on up to so many candidates, those of smallest hash.
-SAMPLE = 20_000
 ROUNDS, STEPS, CUT = 50, 300, 0.9
 
 DOMAIN = re.compile(r"@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
@@ -163,7 +161,7 @@ def candidates(text: str, base: list[tuple[int, int, int]]) -> list[tuple[int, i
     return out
 
 
-def features(kind: int, vote: tuple[int, ...], size: int, n_digits: int) -> np.ndarray:
+def features(kind: int, vote: tuple[int, ...], size: int, n_digits: float) -> np.ndarray:
     out = np.zeros(FEATURES)
     out[kind] = 1
     for k, v in enumerate(vote):
@@ -199,12 +197,12 @@ def posterior(vote: tuple[int, ...], prior: float, table_: np.ndarray) -> float:
     return float(prior * like[1] / (prior * like[1] + (1 - prior) * like[0] + 1e-300))
 
 
-def train(x: np.ndarray, y: np.ndarray) -> np.ndarray:
-    """Logistic regression on soft labels."""
+def train(x: np.ndarray, y: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """Logistic regression on soft labels; row k counts n[k] times."""
     w = np.zeros(x.shape[1])
     for _ in range(STEPS if len(x) else 0):
         p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-        w -= 1.0 * (x.T @ (p - y) / len(x) + 1e-3 * w)
+        w -= 1.0 * (x.T @ (n * (p - y)) / n.sum() + 1e-3 * w)
     return w
 
 
@@ -235,13 +233,20 @@ def look(docs: DataFrame, text: str = "text", keep: tuple[str, ...] = ("doc_id",
 
 def fit(spans: DataFrame) -> np.ndarray:
     """Weights of the span classifier. Reliabilities come from all candidates' votes, counted (at most 3**6 patterns);
-    the classifier is trained on their posteriors over a bounded sample."""
+    the classifier is trained on their posteriors over all candidates, as counts of equal features. Shares of digits are
+    kept to three decimals in spans over 60 long, so that the number of patterns is bounded."""
     c = spans.select(F.explode("more").alias("c")).select("c.*")
-    patterns = {tuple(r.votes): r["count"] for r in sorted(c.groupBy("votes").count().collect(), key=lambda r: tuple(r.votes))}
-    prior, table_ = reliabilities(patterns)
-    rows = c.orderBy(F.xxhash64("start", "kind", "end", "votes", "n_digits"), "start", "kind", "end").limit(SAMPLE).collect()
-    x = np.array([features(r.kind, tuple(r.votes), r.size, r.n_digits) for r in rows]).reshape(len(rows), FEATURES)
-    return train(x, np.array([posterior(tuple(r.votes), prior, table_) for r in rows]))
+    long_ = F.col("size") > 60
+    share = F.col("n_digits") / F.greatest(F.lit(1), F.col("size"))
+    c = c.select("kind", "votes", F.when(long_, 60).otherwise(F.col("size")).alias("size"), F.when(long_, F.round(share * 1000) / 1000 * 60).otherwise(F.col("n_digits").cast("double")).alias("n_digits"))
+    rows = sorted((r.kind, tuple(r.votes), r.size, r.n_digits, r["count"]) for r in c.groupBy("kind", "votes", "size", "n_digits").count().collect())
+    patterns: dict[tuple, int] = {}
+    for _, v, _, _, n in rows:
+        patterns[v] = patterns.get(v, 0) + n
+    prior, table_ = reliabilities(dict(sorted(patterns.items())))
+    chance = {v: posterior(v, prior, table_) for v in patterns}
+    x = np.array([features(*r[:4]) for r in rows]).reshape(len(rows), FEATURES)
+    return train(x, np.array([chance[r[1]] for r in rows]), np.array([r[4] for r in rows], float))
 
 
 def accept(kind: int, vote: tuple[int, ...], size: int, n_digits: int, weights: np.ndarray) -> bool:
