@@ -104,7 +104,7 @@ def grid_neighbours(spark, d):
     return resolve.geo_pairs(places(spark, d))
 
 
-@query(f"""WITH {PLACES}, q AS (SELECT id, lat, lng FROM p WHERE id % 10 = 0) SELECT q.id AS restaurant_id, p.id AS place_id, round({HAVERSINE.format(a='q', b='p')}, 3) AS metres FROM q JOIN p ON p.id <> q.id
+@query(f"""WITH {PLACES}, q AS (SELECT id, lat, lng FROM p) SELECT q.id AS restaurant_id, p.id AS place_id, round({HAVERSINE.format(a='q', b='p')}, 3) AS metres FROM q JOIN p ON p.id <> q.id
  AND p.lat BETWEEN q.lat - 0.0015 AND q.lat + 0.0015 AND p.lng BETWEEN q.lng - 0.002 AND q.lng + 0.002""")
 def bbox_candidates(spark, d):
     """A box of candidates around each place, by cells and bounds."""
@@ -200,7 +200,7 @@ def jw_pairs(spark, d):
 _W = dims.WEIGHTS
 
 
-@query(f"""WITH r AS (SELECT p_partkey AS id, p_name AS name, p_brand AS brand, p_type AS type, p_size AS size FROM part WHERE p_partkey % 4 = 0),
+@query(f"""WITH r AS (SELECT p_partkey AS id, p_name AS name, p_brand AS brand, p_type AS type, p_size AS size FROM part),
  f AS (SELECT a.id AS a, b.id AS b, a.type = b.type AS same_type, a.size = b.size AS same_size, abs(a.size - b.size) * 40.0 AS metres, a.name = b.name AS same_name FROM r a JOIN r b ON a.brand = b.brand AND a.id < b.id),
  t AS (SELECT *, (CASE WHEN same_name THEN {_W['name_very_high']} ELSE 0 END + CASE WHEN same_size THEN {_W['phone']} ELSE 0 END + CASE WHEN same_type THEN {_W['cuisine_match']} ELSE {_W['cuisine_conflict']} END
   + CASE WHEN NOT (same_name OR same_size) THEN 0 WHEN metres <= 25 THEN {_W['geo_very_close']} WHEN metres <= 75 THEN {_W['geo_close']} WHEN metres <= 200 THEN {_W['geo_near']} ELSE 0 END) AS total FROM f)
@@ -314,7 +314,7 @@ def phone_extract(spark, d):
     return read(spark, d, "documents").select("doc_id", F.size(found).alias("n")).where("n > 0")
 
 
-BASKET_SQL = f"""b AS (SELECT l_orderkey AS basket_id, l_linenumber AS n, l_quantity::INT AS qty, floor(l_extendedprice * 100 + 0.5)::BIGINT AS c, l_suppkey AS s FROM lineitem WHERE l_orderkey % 7 = 0),
+BASKET_SQL = f"""b AS (SELECT l_orderkey AS basket_id, l_linenumber AS n, l_quantity::INT AS qty, floor(l_extendedprice * 100 + 0.5)::BIGINT AS c, l_suppkey AS s FROM lineitem),
  i AS (SELECT basket_id, qty, CASE WHEN s % 5 <> 0 THEN c END AS uber_eats, CASE WHEN s % 3 <> 0 THEN c + 10 END AS deliveroo, CASE WHEN s % 7 <> 0 THEN c - 5 END AS takeaway, CASE WHEN s % 2 = 0 THEN c - 20 END AS direct FROM b),
  t AS (SELECT basket_id, count(*) AS items, {', '.join(f'sum({p} * qty)::BIGINT AS s_{p}, count({p}) AS n_{p}' for p in dims.PLATFORMS)}, sum(CASE WHEN direct IS NOT NULL THEN 1 ELSE 0 END) AS nd FROM i GROUP BY 1),
  u AS ({' UNION ALL '.join(f"SELECT basket_id, '{p}' AS platform, {k} AS o, items, coalesce(s_{p}, 0)::BIGINT + {199 + 50 * k} AS total, n_{p} AS priced FROM t" for k, p in enumerate(dims.PLATFORMS) if p != 'direct')}
@@ -348,7 +348,7 @@ def basket_direct_savings(spark, d):
 
 
 DISHES = """dish AS (SELECT l_partkey % 50 AS restaurant_id, l_partkey AS dish, max(CASE WHEN l_suppkey % 4 = 0 THEN floor(l_extendedprice + 0.5)::INT END) AS uber_eats, max(CASE WHEN l_suppkey % 4 = 1 THEN floor(l_extendedprice + 0.5)::INT END) AS deliveroo,
- max(CASE WHEN l_suppkey % 4 = 2 THEN floor(l_extendedprice + 0.5)::INT END) AS takeaway, max(CASE WHEN l_suppkey % 4 = 3 THEN floor(l_extendedprice + 0.5)::INT END) AS direct FROM lineitem WHERE l_linenumber = 1 GROUP BY 1, 2)"""
+ max(CASE WHEN l_suppkey % 4 = 2 THEN floor(l_extendedprice + 0.5)::INT END) AS takeaway, max(CASE WHEN l_suppkey % 4 = 3 THEN floor(l_extendedprice + 0.5)::INT END) AS direct FROM lineitem GROUP BY 1, 2)"""
 
 
 def _dishes(spark, d):
