@@ -14,26 +14,24 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
-_OWN: list[tuple[SparkSession, str]] = []
-
+from ..shared import folder
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or where that is unset (tests) one of our own."""
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        folder = f"file://{tempfile.mkdtemp(prefix='pricelattice-')}"
-        spark.conf.set("spark.checkpoint.dir", folder)
-    return folder.rstrip("/")
+_OWN: list[tuple[SparkSession, str]] = []
 
 
 class Work:
     """Tables that one operator writes and reads again, under a name of their own in the shared folder."""
 
     def __init__(self, spark: SparkSession, name: str):
-        self.spark, self.path = spark, f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+        self.spark, self.path = spark, f"{folder(spark)}/{name}-{uuid.uuid4().hex}"
         _OWN.append((spark, self.path))
         self.n = 0
 
+    def close(self) -> None:
+        """Deletes the tables, once nothing that is still to run reads them; what is not closed goes when the process ends."""
+        _delete(self.spark, self.path)
+        _OWN.remove((self.spark, self.path))
+
     def table(self, df: DataFrame, name: str = "t") -> DataFrame:
         """df written as Parquet and read again: lineage is cut, lost executors cost no more than a task."""
         self.n += 1
@@ -42,13 +40,16 @@ class Work:
         return self.spark.read.schema(df.schema).parquet(path)
 
 
+def _delete(spark: SparkSession, path: str) -> None:
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+
+
 @atexit.register
 def _clean() -> None:
     for spark, path in _OWN:
-        with contextlib.suppress(Exception):
-            jvm = spark.sparkContext._jvm
-            p = jvm.org.apache.hadoop.fs.Path(path)
-            p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+        with contextlib.suppress(Exception):  # the session may have ended before
+            _delete(spark, path)
 
 
 def ship(spark: SparkSession) -> None:
