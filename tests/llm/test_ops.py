@@ -325,24 +325,23 @@ def vector_frame(spark, rows):
     return spark.createDataFrame(rows, "vec_id long, embedding array<float>")
 
 
-def plain_topk(rows, every, k):
-    q = {i: np.floor(64 * np.array(v, np.float64)).astype(np.int64) for i, v in rows}
+def plain_best(rows, every, k, of):
+    """Every row is a candidate; query rows of one id are one query, which takes the best that any of them has."""
     out = []
-    for i in q:
-        if i % every == 0:
-            best = sorted((-int(q[i] @ q[j]), j) for j in q if j != i)[:k]
-            out += [(i, n + 1, j, -s) for n, (s, j) in enumerate(best)]
+    for i in {i for i, _ in rows if i % every == 0}:
+        found = sorted((min(of(q, x) for n, q in rows if n == i), j) for j, x in rows if j != i)[:k]
+        out += [(i, n + 1, j, s) for n, (s, j) in enumerate(found)]
     return sorted(out)
 
 
+def plain_topk(rows, every, k):
+    q = [(i, np.floor(64 * np.array(v, np.float64)).astype(np.int64)) for i, v in rows]
+    return [(i, n, j, -s) for i, n, j, s in plain_best(q, every, k, lambda a, b: -int(a @ b))]
+
+
 def plain_nearest(rows, every, k):
-    v = {i: np.array(x, np.float32).astype(np.float64) for i, x in rows if any(x)}
-    out = []
-    for i in v:
-        if i % every == 0:
-            best = sorted((float(vectors.euclid(v[i], v[j][None, :])[0]), j) for j in v if j != i)[:k]
-            out += [(i, n + 1, j, s) for n, (s, j) in enumerate(best)]
-    return sorted(out)
+    v = [(i, np.array(x, np.float32).astype(np.float64)) for i, x in rows if any(x)]
+    return plain_best(v, every, k, lambda a, b: float(vectors.euclid(a, b[None, :])[0]))
 
 
 def test_topk(spark, monkeypatch):
@@ -355,10 +354,41 @@ def test_topk(spark, monkeypatch):
 def test_nearest(spark, monkeypatch):
     monkeypatch.setattr(vectors, "BLOCK", 2048)
     rows = vector_rows()
-    got = vectors.nearest(vector_frame(spark, rows + BAD + [(1004, [0.0] * 8)]), 20, 10, 3)
+    got = vectors.nearest(vector_frame(spark, rows + BAD + [(1004, [0.0] * 8)]), 20, 10)
     assert sorted((r.query_id, r["rank"], r.vec_id, r.score) for r in got.collect()) == plain_nearest(rows, 20, 10)
 
 
+@pytest.mark.parametrize("clashing", [False, True])
+def test_vectors_that_repeat_an_id(spark, monkeypatch, clashing):
+    """Copies of a query, other vectors under its id, copies of candidates; columns named like those used inside."""
+    monkeypatch.setattr(vectors, "BLOCK", 512)
+    monkeypatch.setattr(vectors, "CELL_BLOCKS", 2)
+    rows = vector_rows(90)
+    rows += [rows[20], rows[20], (20, rows[33][1]), (40, rows[7][1]), (60, rows[60][1]), rows[7], rows[7], (7, rows[8][1])]
+    df = vector_frame(spark, rows)
+    if clashing:
+        for c in ("id", "rid", "v", "cell", "part", "place", "score", "rank", "query_id", "dist", "annulus"):
+            df = df.withColumn(c, F.lit("x"))
+    got = [sorted((r.query_id, r["rank"], r.vec_id, r.score) for r in x.collect()) for x in (vectors.top_products(df, 20, 20), vectors.nearest(df, 20, 10))]
+    assert got == [plain_topk(rows, 20, 20), plain_nearest(rows, 20, 10)]
+
+
+def test_annuli_are_left_out(spark, monkeypatch):
+    """On clustered vectors a query meets less than half of all, and still finds the best."""
+    monkeypatch.setattr(vectors, "BLOCK", 1024)
+    monkeypatch.setattr(vectors, "SAMPLE", 256)
+    monkeypatch.setattr(vectors, "LEAST", 32)
+    r = np.random.default_rng(4)
+    centres = r.normal(size=(12, 16))
+    rows = [(n, [float(x) for x in (centres[n % 12] * (1 + n % 3) + r.normal(size=16) * 0.05).astype(np.float32)]) for n in range(1500)]
+    seen = spark.sparkContext.accumulator(0)
+    got = vectors.top_products(vector_frame(spark, rows), 20, 20, visited=seen)
+    assert sorted((x.query_id, x["rank"], x.vec_id, x.score) for x in got.collect()) == plain_topk(rows, 20, 20)
+    share = seen.value / (75 * 1500)
+    print(f"visited {share:.2f}")
+    assert share < 0.5
+
+
 def test_few_vectors(spark):
     rows = [(0, [1.0, 0.0]), (1, [0.0, 1.0]), (20, [1.0, 0.0, 2.0])]
     wide = [(i, v + [0.0] * (3 - len(v))) for i, v in rows]
