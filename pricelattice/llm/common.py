@@ -12,6 +12,7 @@ import zipfile
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..shared import folder
@@ -98,3 +99,15 @@ def slices(batch: pa.RecordBatch, text: str, limit: int = 1 << 20):
         to = max(at + 1, int(np.searchsorted(off, off[at] + limit, side="right")) - 1)
         yield batch.slice(at, to - at)
         at = to
+
+
+def hot_join(left: DataFrame, right: DataFrame, key: str, total: int, parts: int = 1000) -> DataFrame:
+    """left joined with right, which has one row a key and, in n, how many of left's `total` rows have that key.
+
+    Keys of more than total / parts rows, fewer than `parts` by that, are broadcast: their rows stay where they are, and
+    no other key is more than that share of the join's shuffle. n does not come out.
+    """
+    hot = F.col("n") * parts > total
+    often, rare = right.where(hot).drop("n"), right.where(~hot).drop("n")
+    stays = left.join(F.broadcast(often.select(key)), key, "left_anti")
+    return left.join(F.broadcast(often), key).unionByName(stays.join(rare, key))

@@ -17,8 +17,8 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Work, ship, slices, table, text_buffer, with_fields
-from .words import TABLE, mix, powers
+from .common import Work, hot_join, ship, slices, table, text_buffer
+from .words import TABLE, powers
 
 LENGTH, GRAM = 100, 20
 WINDOW = LENGTH - GRAM + 1
@@ -26,8 +26,8 @@ WINDOW = LENGTH - GRAM + 1
 PART, PLACE = 1 << 22, 24
 #: Bytes of contexts in one suffix array; contexts of an anchor beyond which it is several shards.
 SHARD, HOT = 1 << 20, 4096
-#: Bits of the filters that spare a join rows without a partner; their size is fixed, whatever the input.
-FILTER_BITS = 23
+#: Filters that spare a join rows without a partner have this many bits a key, up to 2**FILTER_BITS bits: 2 MB.
+KEY_BITS, FILTER_BITS = 16, 24
 U = np.uint64
 
 
@@ -69,15 +69,15 @@ def parts(data: np.ndarray):
 
 
 def _anchors(full: bool):
-    """Documents to anchor hashes, or in full to occurrences (hash, doc, first, last, digest of the context)."""
+    """Documents to anchor hashes, or in full to occurrences (hash, doc, tie, first, last, digest of the context)."""
 
     def run(batches):
         for batch in batches:
             for some in slices(batch, "text"):
                 data, off = text_buffer(some.column("text"))
-                ids = some.column("doc").to_pylist()
-                got = [[] for _ in range(5)]
-                for k, doc in enumerate(ids):
+                docs, ties = (some.column(c).to_pylist() for c in ("doc", "tie"))
+                got = [[] for _ in range(6)]
+                for k, (doc, tie) in enumerate(zip(docs, ties, strict=True)):
                     own = data[off[k] : off[k + 1]]
                     if len(own) < LENGTH:
                         continue
@@ -87,12 +87,13 @@ def _anchors(full: bool):
                         if full:
                             raw = part.tobytes()
                             got[1].append(np.full(len(h), doc, np.int64))
-                            got[2].append(a + at)
-                            got[3].append(b + at)
-                            got[4].append(np.fromiter((xxhash.xxh3_64_intdigest(raw[x : y + LENGTH]) for x, y in zip(a.tolist(), b.tolist(), strict=True)), np.uint64, len(a)))
+                            got[2].append(np.full(len(h), tie, np.int64))
+                            got[3].append(a + at)
+                            got[4].append(b + at)
+                            got[5].append(np.fromiter((xxhash.xxh3_64_intdigest(raw[x : y + LENGTH]) for x, y in zip(a.tolist(), b.tolist(), strict=True)), np.uint64, len(a)))
                 if got[0]:
-                    columns = [pa.array(np.concatenate(c).view(np.int64)) for c in got[: 5 if full else 1]]
-                    yield pa.RecordBatch.from_arrays(columns, ["hash", "doc", "first", "last", "digest"][: len(columns)])
+                    columns = [pa.array(np.concatenate(c).view(np.int64)) for c in got[: 6 if full else 1]]
+                    yield pa.RecordBatch.from_arrays(columns, ["hash", "doc", "tie", "first", "last", "digest"][: len(columns)])
 
     return run
 
@@ -180,9 +181,9 @@ def common_prefixes(text: np.ndarray, order: np.ndarray) -> np.ndarray:
     return size[order]
 
 
-def repeats(contexts: list[bytes], docs: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def repeats(contexts: list[bytes], docs: np.ndarray, ties: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(context, offset, is_first, alone) of every string of LENGTH bytes in the contexts: alone if no other equals it,
-    is_first if it stands first, by (doc, place), of those that are equal."""
+    is_first if it stands first, by (doc, tie, place), of those that are equal."""
     text = np.frombuffer(b"".join(contexts), np.uint8)
     size = np.array([len(c) for c in contexts])
     start = np.cumsum(size) - size
@@ -192,7 +193,7 @@ def repeats(contexts: list[bytes], docs: np.ndarray, first: np.ndarray) -> tuple
     offset = order - start[context]
     whole = offset + LENGTH <= size[context]
     context, offset, group = context[whole], offset[whole], group[whole]
-    sort = np.lexsort((first[context] + offset, docs[context], group))
+    sort = np.lexsort((first[context] + offset, ties[context], docs[context], group))
     context, offset, group = context[sort], offset[sort], group[sort]
     new = np.ones(len(group), bool)
     new[1:] = group[1:] != group[:-1]
@@ -210,72 +211,72 @@ def ranges(context: np.ndarray, offset: np.ndarray) -> tuple[np.ndarray, np.ndar
     return context[at], offset[at], offset[np.append(at[1:], len(offset)) - 1] if len(at) else offset[:0]
 
 
-SHARDED = "doc long, a long, b long, hash long, bucket int, prints binary, docs binary, starts binary"
+SHARDED = "doc long, tie long, a long, b long, hash long, bucket int, prints binary, docs binary, ties binary, starts binary"
 
 
 def _shards():
-    """Sorted contexts (hash, salt, salts, doc, first, context) to ranges that go and, of split anchors, sorted runs of what is first."""
+    """Sorted contexts (hash, salt, salts, doc, tie, first, context) to ranges that go and, of split anchors, sorted runs of what is first."""
 
     def close(rows):
-        contexts = [r[5] for r in rows]
-        docs, first = np.array([r[3] for r in rows], np.int64), np.array([r[4] for r in rows], np.int64)
-        c, o, new, alone = repeats(contexts, docs, first)
+        rows = list({(r[0], *r[3:6]): r for r in rows}.values())  # rows of one id and text are one document
+        contexts = [r[6] for r in rows]
+        docs, ties, first = (np.array([r[k] for r in rows], np.int64) for k in (3, 4, 5))
+        c, o, new, alone = repeats(contexts, docs, ties, first)
         gone = ~new
         gc, a, b = ranges(c[gone], o[gone])
         n = len(gc)
         nothing = pa.nulls(n, pa.binary())
-        yield pa.RecordBatch.from_arrays([pa.array(docs[gc]), pa.array(first[gc] + a), pa.array(first[gc] + b), pa.nulls(n, pa.int64()), pa.nulls(n, pa.int32()), nothing, nothing, nothing], SHARD_NAMES)
+        yield pa.RecordBatch.from_arrays([pa.array(docs[gc]), pa.array(ties[gc]), pa.array(first[gc] + a), pa.array(first[gc] + b), pa.nulls(n, pa.int64()), pa.nulls(n, pa.int32()), nothing, nothing, nothing, nothing], SHARD_NAMES)
         if rows[0][2] > 1:  # one anchor, split
             salts = rows[0][2]
             kc, ko = c[new], o[new]
             prints = np.fromiter((xxhash.xxh3_64_intdigest(contexts[x][y : y + LENGTH]) for x, y in zip(kc.tolist(), ko.tolist(), strict=True)), np.uint64, len(kc))
             sort = np.argsort(prints)
-            prints, d, s = prints[sort], docs[kc][sort], (first[kc] + ko)[sort]
+            prints, d, t, s = prints[sort], docs[kc][sort], ties[kc][sort], (first[kc] + ko)[sort]
             cut = np.searchsorted(prints, np.array([(k << 64) // salts for k in range(salts)], np.uint64))
             for k, (x, y) in enumerate(zip(cut.tolist(), [*cut.tolist()[1:], len(prints)], strict=True)):
                 if y > x:
                     one = pa.nulls(1, pa.int64())
-                    yield pa.RecordBatch.from_arrays([one, one, one, pa.array([rows[0][0]]), pa.array([k], pa.int32()), *[pa.array([z[x:y].tobytes()], pa.binary()) for z in (prints, d, s)]], SHARD_NAMES)
+                    yield pa.RecordBatch.from_arrays([one, one, one, one, pa.array([rows[0][0]]), pa.array([k], pa.int32()), *[pa.array([z[x:y].tobytes()], pa.binary()) for z in (prints, d, t, s)]], SHARD_NAMES)
 
     def run(batches):
         rows, size, key = [], 0, None
         for batch in batches:
-            columns = [batch.column(c).to_pylist() for c in ("hash", "salt", "salts", "doc", "first", "context")]
+            columns = [batch.column(c).to_pylist() for c in ("hash", "salt", "salts", "doc", "tie", "first", "context")]
             for row in zip(*columns, strict=True):
                 if rows and row[:2] != key and (size >= SHARD or row[2] > 1 or rows[0][2] > 1):
                     yield from close(rows)
                     rows, size = [], 0
                 key = row[:2]
                 rows.append(row)
-                size += len(row[5])
+                size += len(row[6])
         if rows:
             yield from close(rows)
 
     return run
 
 
-SHARD_NAMES = ["doc", "a", "b", "hash", "bucket", "prints", "docs", "starts"]
+SHARD_NAMES = ["doc", "tie", "a", "b", "hash", "bucket", "prints", "docs", "ties", "starts"]
 
 
 def merge(runs):
-    """Sorted runs (prints, docs, starts), one of each shard, to the (docs, starts) that are not first among equal prints.
-
-    Each run is looked up in what is merged so far by binary search.
-    """
-    prints, docs, starts = (np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64))
+    """Sorted runs (prints, docs, ties, starts), one of each shard, to the (docs, ties, starts) that are not first among
+    equal prints. Each run is looked up in what is merged so far by binary search."""
+    prints, best = np.zeros(0, np.uint64), np.zeros((0, 3), np.int64)
     gone = []
-    for p, d, s in runs:
+    for p, *place in runs:
+        place = np.column_stack(place)
         at = np.searchsorted(prints, p)
         known = at < len(prints)
         known[known] = prints[at[known]] == p[known]
         k, i = np.flatnonzero(known), at[known]
-        earlier = (d[k] < docs[i]) | ((d[k] == docs[i]) & (s[k] < starts[i]))
-        gone.append((np.where(earlier, docs[i], d[k]), np.where(earlier, starts[i], s[k])))
-        docs[i], starts[i] = np.where(earlier, d[k], docs[i]), np.where(earlier, s[k], starts[i])
+        new, old = place[k], best[i]
+        earlier = (new[:, 0] < old[:, 0]) | ((new[:, 0] == old[:, 0]) & ((new[:, 1] < old[:, 1]) | ((new[:, 1] == old[:, 1]) & (new[:, 2] < old[:, 2]))))
+        gone.append(np.where(earlier[:, None], old, new))
+        best[i] = np.where(earlier[:, None], new, old)
         fresh = ~known
-        prints = np.insert(prints, at[fresh], p[fresh])
-        docs, starts = np.insert(docs, at[fresh], d[fresh]), np.insert(starts, at[fresh], s[fresh])
-    return np.concatenate([g[0] for g in gone]), np.concatenate([g[1] for g in gone])
+        prints, best = np.insert(prints, at[fresh], p[fresh]), np.insert(best, at[fresh], place[fresh], axis=0)
+    return np.concatenate(gone).T
 
 
 def _merged():
@@ -283,9 +284,10 @@ def _merged():
 
     def close(runs):
         if len(runs) > 1:
-            docs, starts = merge(runs)
-            d, a, b = ranges(docs, starts)
-            yield pa.RecordBatch.from_arrays([pa.array(d), pa.array(a), pa.array(b)], ["doc", "a", "b"])
+            docs, ties, starts = merge(runs)
+            own, at = np.unique(np.column_stack([docs, ties]), axis=0, return_inverse=True)
+            c, a, b = ranges(at.ravel(), starts)
+            yield pa.RecordBatch.from_arrays([pa.array(own[c, 0]), pa.array(own[c, 1]), pa.array(a), pa.array(b)], ["doc", "tie", "a", "b"])
 
     def run(batches):
         key, runs = None, []
@@ -294,7 +296,7 @@ def _merged():
                 if (r["hash"], r["bucket"]) != key:
                     yield from close(runs)
                     key, runs = (r["hash"], r["bucket"]), []
-                runs.append((np.frombuffer(r["prints"], np.uint64), np.frombuffer(r["docs"], np.int64), np.frombuffer(r["starts"], np.int64)))
+                runs.append((np.frombuffer(r["prints"], np.uint64), *(np.frombuffer(r[c], np.int64) for c in ("docs", "ties", "starts"))))
         yield from close(runs)
 
     return run
@@ -304,19 +306,19 @@ def _merged():
 
 
 def _contexts():
-    """Rows (doc, text, list of (first, last, hash, salt, salts)) to the contexts themselves."""
+    """Rows (doc, tie, text, list of (first, last, hash, salt, salts)) to the contexts themselves."""
 
     def run(batches):
         for batch in batches:
             for some in slices(batch, "text"):
                 data, off = text_buffer(some.column("text"))
                 out = []
-                for k, (doc, wanted) in enumerate(zip(some.column("doc").to_pylist(), some.column("wanted").to_pylist(), strict=True)):
+                for k, (doc, tie, wanted) in enumerate(zip(*(some.column(c).to_pylist() for c in ("doc", "tie", "wanted")), strict=True)):
                     raw = data[off[k] : off[k + 1]].tobytes()
-                    out += [(w["hash"], w["salt"], w["salts"], doc, w["first"], raw[w["first"] : w["last"] + LENGTH]) for w in wanted if w["last"] + LENGTH <= len(raw)]
-                columns = list(zip(*out, strict=True)) if out else [()] * 6
-                kinds = [pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.binary()]
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], ["hash", "salt", "salts", "doc", "first", "context"])
+                    out += [(w["hash"], w["salt"], w["salts"], doc, tie, w["first"], raw[w["first"] : w["last"] + LENGTH]) for w in wanted]
+                columns = list(zip(*out, strict=True)) if out else [()] * 7
+                kinds = [pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.binary()]
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], ["hash", "salt", "salts", "doc", "tie", "first", "context"])
 
     return run
 
@@ -332,7 +334,7 @@ def cover(size: int, gone: list[dict]) -> np.ndarray:
 
 
 def _cut():
-    """Rows (doc, text, gone) to what is left of each document."""
+    """Rows (doc, tie, text, gone) to what is left of each document."""
 
     def run(batches):
         for batch in batches:
@@ -348,61 +350,73 @@ def _cut():
                     raw = own[stays].tobytes()
                     kept.append(raw)
                     sha.append(hashlib.sha256(raw).hexdigest())
-                yield pa.RecordBatch.from_arrays([some.column("doc"), some.column("sha"), pa.array(removed, pa.int64()), pa.array(spans, pa.int64()), pa.array(sha), pa.array(kept, pa.binary())], ["doc", "sha", "n_removed", "n_spans", "kept_sha256", "kept"])
+                yield pa.RecordBatch.from_arrays([some.column("doc"), some.column("tie"), pa.array(removed, pa.int64()), pa.array(spans, pa.int64()), pa.array(sha), pa.array(kept, pa.binary())], ["doc", "tie", "n_removed", "n_spans", "kept_sha256", "kept"])
 
     return run
 
 
 def only(rows: DataFrame, key: str, wanted: DataFrame) -> DataFrame:
-    """rows that may have a partner in wanted (column key): a filter of fixed size, at most 2**17 rows, is broadcast."""
-    bit = lambda c: F.pmod(F.xxhash64(c), F.lit(1 << FILTER_BITS))
-    bits = wanted.select(bit(key).alias("_h")).groupBy(F.shiftright("_h", 6).alias("_w")).agg(F.bit_or(F.expr("shiftleft(1L, cast(_h & 63 as int))")).alias("_bits"))
+    """rows that may have a partner in wanted (column key), by a broadcast filter of bounded size; all rows where so
+    many are wanted that it would let most of them pass."""
+    n = wanted.count()
+    bits = max(16, min(FILTER_BITS, (KEY_BITS * n).bit_length()))
+    if n > 1 << bits:
+        return rows
+    bit = lambda c: F.pmod(F.xxhash64(c), F.lit(1 << bits))
+    words = wanted.select(bit(key).alias("_h")).groupBy(F.shiftright("_h", 6).alias("_w")).agg(F.bit_or(F.expr("shiftleft(1L, cast(_h & 63 as int))")).alias("_bits"))
     rows = rows.withColumn("_h", bit(key))
     hit = F.expr("(_bits & shiftleft(1L, cast(_h & 63 as int))) <> 0")
-    return rows.join(F.broadcast(bits), F.shiftright("_h", 6) == F.col("_w")).where(hit).drop("_h", "_w", "_bits")
+    return rows.join(F.broadcast(words), F.shiftright("_h", 6) == F.col("_w")).where(hit).drop("_h", "_w", "_bits")
 
 
 def removed_ranges(docs: DataFrame, work: Work) -> DataFrame:
-    """(doc, a, b): the strings of LENGTH bytes that start at a..b in a document also start earlier."""
+    """(doc, tie, a, b): the strings of LENGTH bytes that start at a..b in a document also start earlier."""
     first = docs.mapInArrow(_anchors(False), "hash long")
     repeated = work.table(first.groupBy("hash").count().where("count > 1").select("hash"), "repeated")
-    rows = docs.mapInArrow(_anchors(True), "hash long, doc long, first long, last long, digest long")
-    seen = work.table(only(rows, "hash", repeated).join(repeated, "hash"), "seen")
-    kinds = work.table(seen.groupBy("hash", "digest").agg(F.min(F.struct("doc", "first", "last")).alias("f")).select("hash", "digest", "f.*"), "contexts")
+    rows = docs.mapInArrow(_anchors(True), "hash long, doc long, tie long, first long, last long, digest long")
+    # What the filter lets pass by mistake stands alone later and costs no more than its row.
+    seen = work.table(only(rows, "hash", repeated), "seen")
+    # A digest is of the whole context, so it stands for the anchor too.
+    place = F.struct("doc", "tie", "first", "last", "hash")
+    kinds = work.table(seen.groupBy("digest").agg(F.min(place).alias("f"), F.count("*").alias("n")).select("digest", "n", "f.*"), "contexts")
     # Every occurrence of a context but the first goes whole.
-    first = kinds.select("hash", "digest", F.col("doc").alias("doc0"), F.col("first").alias("first0"))
-    later = seen.join(first, ["hash", "digest"]).where("doc <> doc0 or first <> first0").select("doc", F.col("first").alias("a"), F.col("last").alias("b"))
+    often = kinds.where("n > 1").select("digest", "n", F.col("doc").alias("doc0"), F.col("tie").alias("tie0"), F.col("first").alias("first0"))
+    later = hot_join(seen.select("digest", "doc", "tie", "first", "last"), often, "digest", seen.count())
+    later = later.where("doc <> doc0 or tie <> tie0 or first <> first0").select("doc", "tie", F.col("first").alias("a"), F.col("last").alias("b"))
     # Contexts that share an anchor may share strings.
-    several = kinds.groupBy("hash").agg(F.count("*").alias("n")).where("n > 1").select("hash", F.ceil(F.col("n") / HOT).cast("int").alias("salts"))
-    want = kinds.join(several, "hash").withColumn("salt", F.pmod("digest", "salts").cast("int"))
-    want = work.table(want.groupBy("doc").agg(F.collect_list(F.struct("first", "last", "hash", "salt", "salts")).alias("wanted")), "wanted")
-    texts = only(docs, "doc", want).join(want, "doc").select("doc", "text", "wanted")
-    dealt = texts.mapInArrow(_contexts(), "hash long, salt int, salts int, doc long, first long, context binary")
+    several = kinds.groupBy("hash").agg(F.count("*").alias("n")).where("n > 1")
+    want = hot_join(kinds.drop("n"), several.withColumn("salts", F.ceil(F.col("n") / HOT).cast("int")), "hash", kinds.count()).withColumn("salt", F.pmod("digest", "salts").cast("int"))
+    want = work.table(want.groupBy("doc", "tie").agg(F.collect_list(F.struct("first", "last", "hash", "salt", "salts")).alias("wanted")), "wanted")
+    texts = only(docs, "doc", want).join(want, ["doc", "tie"]).select("doc", "tie", "text", "wanted")
+    dealt = texts.mapInArrow(_contexts(), "hash long, salt int, salts int, doc long, tie long, first long, context binary")
     dealt = dealt.repartition("hash", "salt").sortWithinPartitions("hash", "salt")
     sharded = work.table(dealt.mapInArrow(_shards(), SHARDED), "shards")
-    runs = sharded.where("hash is not null").select("hash", "bucket", "prints", "docs", "starts").repartition("hash", "bucket").sortWithinPartitions("hash", "bucket")
-    across = runs.mapInArrow(_merged(), "doc long, a long, b long")
-    return later.unionAll(sharded.where("doc is not null").select("doc", "a", "b")).unionAll(across)
+    runs = sharded.where("hash is not null").select("hash", "bucket", "prints", "docs", "ties", "starts").repartition("hash", "bucket").sortWithinPartitions("hash", "bucket")
+    across = runs.mapInArrow(_merged(), "doc long, tie long, a long, b long")
+    return later.unionByName(sharded.where("doc is not null").select("doc", "tie", "a", "b")).unionByName(across)
 
 
 def dedup_substrings(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(key, n_bytes, n_removed, n_spans, kept_sha256, kept) of every row; kept is null where nothing is removed.
 
     Removed is each byte covered by a LENGTH-byte string that also starts earlier: in a smaller id, or before in the
-    same document; strings are judged on the input and never cross documents. Null and empty texts have no bytes.
-    Rows with a null id take no part; rows that repeat an id are one document to the order. Other columns are not read.
+    same document; strings are judged on the input and never cross documents. Null and empty texts have no bytes. The
+    key is an integer; rows with a null key take no part. Rows that repeat an id: those of one text are one document,
+    those of other texts are documents of their own, in the order of a hash of the text. Other columns are not read.
+    What one document's places need, lists as long as its text, is held with that text in one row.
     """
     ship(docs.sparkSession)
     work = Work(docs.sparkSession, "substrings")
-    plain = docs.select(F.col(key).cast("long").alias("doc"), F.coalesce(F.col(text), F.lit("")).alias("text"))
+    tie = lambda c: F.xxhash64(F.coalesce(c, F.lit("")))
+    plain = docs.select(F.col(key).cast("long").alias("doc"), F.coalesce(F.col(text), F.lit("")).alias("text")).withColumn("tie", tie(F.col("text")))
     long_ = plain.where(F.col("doc").isNotNull() & (F.octet_length("text") >= LENGTH))
-    gone = removed_ranges(long_, work).groupBy("doc").agg(F.collect_list(F.struct("a", "b")).alias("gone"))
+    gone = removed_ranges(long_, work).groupBy("doc", "tie").agg(F.collect_list(F.struct("a", "b")).alias("gone"))
     gone = work.table(gone, "gone")
-    sha = F.sha2(F.col("text").cast("binary"), 256)
-    touched = only(long_, "doc", gone).join(gone, "doc").select("doc", "text", "gone", sha.alias("sha"))
-    cut = work.table(touched.mapInArrow(_cut(), "doc long, sha string, n_removed long, n_spans long, kept_sha256 string, kept binary"), "cut").dropDuplicates(["doc", "sha"])
-    whole = docs.select(F.col(key), F.col(key).cast("long").alias("doc"), F.coalesce(F.octet_length(text), F.lit(0)).cast("long").alias("n_bytes"), F.sha2(F.coalesce(text, F.lit("")).cast("binary"), 256).alias("sha"))
-    out = whole.join(cut, ["doc", "sha"], "left")
+    touched = only(long_, "doc", gone).join(gone, ["doc", "tie"]).select("doc", "tie", "text", "gone")
+    cut = work.table(touched.mapInArrow(_cut(), "doc long, tie long, n_removed long, n_spans long, kept_sha256 string, kept binary"), "cut").dropDuplicates(["doc", "tie"])
+    sha = F.sha2(F.coalesce(F.col(text), F.lit("")).cast("binary"), 256)
+    whole = docs.select(F.col(key), F.col(key).cast("long").alias("doc"), tie(F.col(text)).alias("tie"), F.coalesce(F.octet_length(text), F.lit(0)).cast("long").alias("n_bytes"), sha.alias("sha"))
+    out = whole.join(cut, ["doc", "tie"], "left")
     zero = F.lit(0).cast("long")
     return out.select(key, "n_bytes", F.coalesce("n_removed", zero).alias("n_removed"), F.coalesce("n_spans", zero).alias("n_spans"), F.coalesce("kept_sha256", "sha").alias("kept_sha256"), "kept")
 

@@ -249,6 +249,22 @@ def test_substrings_awkward(spark, clashing):
     assert substrings.dedup_substrings(H.empty(spark)).count() == 0
 
 
+@both
+@pytest.mark.parametrize("hot", [4096, 2])
+def test_substrings_that_repeat_an_id(spark, monkeypatch, clashing, hot):
+    """Rows of one id and text are one document, rows of other texts documents of their own, by a hash of the text."""
+    monkeypatch.setattr(substrings, "HOT", hot)
+    t1, t2, t3 = (H.text(n, n) for n in (60, 61, 62))
+    rows = [(1, t1), (7, t1), (7, t2), (7, t2), (9, t3), (9, t3[:200] + t2), (9, t1 + t3), (4, t3), (4, t3 + t3)]
+    docs = spark.createDataFrame([(i, t, "en", "s", 1) for i, t in rows], H.DOCUMENTS).withColumn("tie", F.xxhash64("text"))
+    order = sorted({(r.doc_id, r.tie, r.text) for r in docs.collect()})
+    want = plain_cut([(k, t) for k, (_, _, t) in enumerate(order)])
+    want = sorted((order[k][0], *v) for k, v in want.items() for _ in range(rows.count((order[k][0], order[k][2]))))
+    docs = docs.withColumns({c: F.lit("x") for c in ("doc", "digest", "gone", "n", "sha", "kept")}) if clashing else docs.drop("tie")
+    got = sorted((r.doc_id, r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in substrings.dedup_substrings(docs).collect())
+    assert got == want and (7, len(t2.encode()), 0, 0, hashlib.sha256(t2.encode()).hexdigest()) in got
+
+
 @data
 def test_substrings_query(spark):
     want = plain_cut(pairs(spark))
