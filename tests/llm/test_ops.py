@@ -313,11 +313,42 @@ def test_license_rules(text, label):
 
 
 def test_license_settles():
+    # of one rule's detections those inside another go, those that overlap in part stay
+    assert [d[:2] for d in licenses.settle([(0, 10, 3, "a", 0.5), (2, 5, 3, "a", 0.5), (8, 14, 3, "a", 0.5), (0, 10, 3, "a", 0.5), (13, 20, 4, "b", 0.5), (14, 20, 5, "c", 0.5)])] == [(0, 10), (8, 14), (14, 20)]
+    r = random.Random(5)
+    for _ in range(300):
+        found = [(a, a + r.randrange(1, 9), r.randrange(4), "x", 0.5) for a in (r.randrange(40) for _ in range(r.randrange(12)))]
+        kept = []
+        for d in sorted(set(found), key=lambda d: (d[2], d[0] - d[1], d[0])):  # longest first within a rule
+            if not any((k[2] < d[2] and k[0] < d[1] and d[0] < k[1]) or (k[2] == d[2] and k[0] <= d[0] and d[1] <= k[1]) for k in kept):
+                kept.append(d)
+        assert licenses.settle(found) == sorted(kept)
     assert [d[3] for d in licenses.settle([(0, 10, 1, "wide", 0.5), (2, 5, 2, "inside", 0.5), (9, 12, 0, "first", 0.5), (20, 25, 5, "far", 0.5)])] == ["inside", "first", "far"]
     assert [d[3] for d in licenses.settle([(0, 10, 1, "wide", 0.5), (2, 5, 2, "inside", 0.5)])] == ["wide"]
     assert sum(map(len, licenses.rules()[1].values())) >= 300
 
 
+def test_many_detections_take_little_time():
+    import time
+
+    hits, spans = [], []
+    for n in (5_000, 50_000):
+        at = time.perf_counter()
+        licenses.scan_text("Released under the MIT License. " * n)
+        hits.append(time.perf_counter() - at)
+        at = time.perf_counter()
+        t = "call 212-555-0101 or me@x.org. " * n
+        pii.candidates(t, pii.base_spans(t))
+        spans.append(time.perf_counter() - at)
+    assert hits[1] < 40 * hits[0] and spans[1] < 40 * spans[0]
+
+
+@pytest.mark.parametrize("text", ["Released under the MIT Licence.", "Released under the MIT\nLicense.", "Released under  the  MIT  License."])
+def test_license_wrapped(text):
+    assert "mit" in licenses.scan_text(text)["labels"].split(",")
+    assert "gpl-3.0" in licenses.scan_text("GNU General\n * Public License version 3")["labels"].split(",")
+
+
 @both
 def test_license_awkward(spark, clashing):
     assert licenses.scan_licenses(H.awkward(spark, clashing)).count() == 18
@@ -518,6 +549,29 @@ def test_added_spans(spark):
     assert all("[EMAIL]" in shown[k] and "[SECRET]" in shown[k] and "@" not in shown[k] for k in range(30))
 
 
+def plain_chosen(t, weights):
+    """The spans of one text by the definitions, one pair of spans against another."""
+    base, more = plain_spans(t), []
+    found = sorted((m.start(), k, m.end()) for k, _, p in pii.WIDE for m in p.finditer(t))
+    for a, k, b in found:
+        if (k == 8 and not t[a:b].split(" ")[0].lower() in pii.FIRST_NAMES and not t[a:b].split(" ")[0].rstrip(".") in ("Mr", "Mrs", "Ms", "Dr", "Prof", "Mme", "Mlle", "Herr", "Frau", "Sr", "Sra")):
+            continue
+        if not any(x < b and a < y for x, _, y in base + more):
+            more.append((a, k, b))
+    score = lambda a, k, b: pii.features(k, pii.votes(t, k, a, b), min(60, b - a), int(len(pii.digits(t[a:b])) / (b - a) * 20) / 20 * min(60, b - a), *pii.context(t, a, b)) @ weights
+    return pii.joined(sorted(base + [s for s in more if 1 / (1 + np.exp(-score(*s))) >= pii.CUT]))
+
+
+def test_added_spans_by_a_plain_version(spark):
+    r = random.Random(3)
+    bits = ["Dr. Anna Schmidt", "contact Peter Miller", "Louvain Parc", "12 Main Street", "rue de la Loi 16", "token=04dbebab91ab85687d33eeaaf9ac", "password: hunter", "DE89370400440532013000", "123-45-6789", "00:1a:2b:3c:4d:5e", "call (212) 555-0101", "version 212-555-0101", "me [at] home [dot] org", "a@b.org", "10.1.2.3", "4111 1111 1111 1111", "the", "of.", "and,", "\n"]
+    rows = [(k, " ".join(r.choice(bits) for _ in range(r.randrange(1, 25))), "en", "s", 1) for k in range(150)]
+    docs = spark.createDataFrame(rows, H.DOCUMENTS)
+    weights = pii.fit(pii.look(docs))
+    got = {x.doc_id: x.spans for x in pii.find_pii(docs).collect()}
+    assert got == {i: plain_chosen(t, weights) for i, t, *_ in rows} and any("person:" in s for s in got.values()) and any("iban:" in s for s in got.values())
+
+
 def test_reliabilities():
     """Labelers that agree are trusted more than one that votes at random."""
     r = random.Random(7)

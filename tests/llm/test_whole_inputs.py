@@ -78,10 +78,11 @@ def test_pii_learns_from_every_candidate(spark):
     from pricelattice.llm import pii
 
     groups = [(4, (1, 1, 1, 0, 1, 1), 22, 18, 20_000), (7, (1, 0, 1, 0, -1, 1), 90, 31, 20_000), (8, (-1, -1, -1, 0, -1, -1), 12, 0, 300)]
-    part = lambda k, v, size, n, many: spark.range(many).select(F.expr(f"array(named_struct('start', 3, 'kind', {k}, 'end', {3 + size}, 'votes', array{v}, 'size', {size}, 'n_digits', {n}))").alias("more"))
+    part = lambda k, v, size, n, many: spark.range(many).select(F.expr(f"array(named_struct('start', 3, 'kind', {k}, 'end', {3 + size}, 'votes', array{v}, 'size', {size}, 'n_digits', {n}, 'before', 0, 'after', 0))").alias("more"))
     w = pii.fit(part(*groups[0]).union(part(*groups[1])).union(part(*groups[2])))
     assert all(w[k] for k in (4, 7, 8))
     prior, t = pii.reliabilities({g[1]: g[4] for g in sorted(groups, key=lambda g: g[1])})
-    x = np.array([pii.features(*g[:4]) for g in groups for _ in range(g[4] // 100)])
+    share = lambda size, n: int(n / size * 20) / 20 * min(60, size)
+    x = np.array([pii.features(g[0], g[1], min(60, g[2]), share(g[2], g[3])) for g in groups for _ in range(g[4] // 100)])
     y = np.array([pii.posterior(g[1], prior, t) for g in groups for _ in range(g[4] // 100)])
     assert np.allclose(w, pii.train(x, y, np.ones(len(y))), atol=1e-3)
