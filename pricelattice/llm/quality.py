@@ -4,14 +4,17 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import Work, ship, slices, table, text_buffer, with_fields
-from .words import SPACE, prefix_hash, range_hash, spans, word_hashes
+from .words import SPACE, U, mix, prefix_hash, range_hash, spans, word_hashes
 
-#: Word buckets, shape buckets, width of a vector and its non-zero places.
-WORDS, SHAPES, WIDTH, PLACES = 2048, 1024, 64, 4
+#: Words that have a vector of their own, shape buckets, width of a vector and its non-zero places.
+VOCABULARY, SHAPES, WIDTH, PLACES = 16_384, 1024, 64, 4
+#: Words whose sums travel as one row, and tasks that first add up a group's rows.
+GROUP, FAN_IN = 256, 256
 #: The network is fitted on up to so many labelled documents, those of smallest hash.
 SAMPLE = 12_000
 HIDDEN, EPOCHS, THRESHOLD = 32, 400, 0.3
@@ -23,23 +26,23 @@ CLASS[65:91] = 65
 CLASS[48:58] = 48
 
 
-def index_vectors(n: int, seed: int) -> tuple[np.ndarray, np.ndarray]:
-    """Each of n items has PLACES places with a sign, all other components are 0."""
-    rng = np.random.Generator(np.random.PCG64(seed))
-    return rng.random((n, WIDTH)).argsort(axis=1)[:, :PLACES], rng.choice([-1.0, 1.0], (n, PLACES))
+def index_places(hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The index vector of a hash, whatever it stands for: PLACES places, each with a sign; all other components are 0."""
+    h = mix(hashes)
+    at = np.stack([(h >> U(8 * k)) % U(WIDTH) for k in range(PLACES)], axis=1).astype(np.int64)
+    return at, 1.0 - 2.0 * np.stack([(h >> U(48 + k)) & U(1) for k in range(PLACES)], axis=1)
 
 
-WORD_INDEX, SHAPE_INDEX = index_vectors(WORDS, 1), index_vectors(SHAPES, 2)
-
-
-def dense(index: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
-    out = np.zeros((len(index[0]), WIDTH))
-    np.put_along_axis(out, index[0], index[1], axis=1)
-    return out
+def index_vectors(hashes: np.ndarray) -> np.ndarray:
+    at, sign = index_places(hashes)
+    out = np.zeros((len(hashes), WIDTH))
+    for k in range(PLACES):
+        out[np.arange(len(hashes)), at[:, k]] += sign[:, k]
+    return out / np.sqrt(PLACES)
 
 
 def tokens(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Word buckets, shape buckets and the first word of each row; a word that repeats the one before has a shape of its own."""
+    """Word hashes, shape buckets and the first word of each row; a word that repeats the one before has a shape of its own."""
     data, off = text_buffer(column)
     words, first = word_hashes(data, off)
     start, end = spans(~SPACE[data], off)
@@ -48,68 +51,145 @@ def tokens(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     new[1:] = kind[1:] != kind[:-1]
     new[start] = True
     at = np.concatenate([[0], np.cumsum(new)])
-    shape = (range_hash(prefix_hash(kind[new]), at[start], at[end]) % np.uint64(SHAPES - 1)).astype(np.int64) + 1
+    shape = (range_hash(prefix_hash(kind[new]), at[start], at[end]) % U(SHAPES - 1)).astype(np.int64) + 1
     again = np.zeros(len(words), bool)
     again[1:] = words[1:] == words[:-1]
     again[first[:-1][first[:-1] < len(words)]] = False
     shape[again] = 0
-    return (words % np.uint64(WORDS)).astype(np.int64), shape, first
+    return words, shape, first
 
 
-def _contexts(text: str):
-    """Sums over all neighbours of their index vectors, a row for each word bucket that the task has seen."""
+def known(words: np.ndarray, vocabulary: np.ndarray) -> np.ndarray:
+    """The place of each word in the sorted vocabulary; -1 where it has none."""
+    if not len(vocabulary):
+        return np.full(len(words), -1, np.int64)
+    at = np.minimum(np.searchsorted(vocabulary, words), len(vocabulary) - 1)
+    return np.where(vocabulary[at] == words, at, -1)
+
+
+def _counts(text: str):
+    """Words with their counts, a row for each word and some megabytes of text."""
 
     def run(batches):
-        total, seen = np.zeros(WORDS * WIDTH), np.zeros(WORDS, np.int64)
+        words, n = [], 0
+        for batch in batches:
+            for part in slices(batch, text):
+                words.append(tokens(part.column(text))[0])
+                n += len(words[-1])
+                if n >= 1 << 22:
+                    yield from rows(words)
+                    words, n = [], 0
+        yield from rows(words)
+
+    def rows(words):
+        if words:
+            found, n = np.unique(np.concatenate(words), return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(found.view(np.int64)), pa.array(n)], ["word", "n"])
+
+    return run
+
+
+def _contexts(text: str, vocabulary: np.ndarray):
+    """Sums over all neighbours of their index vectors, for the words of the vocabulary; a row for each GROUP of words."""
+
+    def run(batches):
+        part_id, total = TaskContext.get().partitionId(), np.zeros(len(vocabulary) * WIDTH)
         for batch in batches:
             for part in slices(batch, text):
                 word, _, first = tokens(part.column(text))
-                seen += np.bincount(word, minlength=WORDS)
+                own = known(word, vocabulary)
+                places, sign = index_places(word)
                 near = np.ones(max(0, len(word) - 1), bool)
                 inner = first[1:-1]
                 near[inner[(inner > 0) & (inner < len(word))] - 1] = False
-                a, b = word[:-1][near], word[1:][near]
-                for own, other in ((a, b), (b, a)):
+                a, b = np.flatnonzero(near), np.flatnonzero(near) + 1
+                for centre, other in ((a, b), (b, a)):
+                    has = own[centre] >= 0
+                    centre, other = own[centre[has]] * WIDTH, other[has]
                     for p in range(PLACES):
-                        total += np.bincount(own * WIDTH + WORD_INDEX[0][other, p], WORD_INDEX[1][other, p], WORDS * WIDTH)
-        rows = np.flatnonzero(seen)
-        flat = total.reshape(WORDS, WIDTH)[rows]
-        columns = [pa.array(rows.astype(np.int32)), pa.array(seen[rows]), *[pa.array(flat[:, k]) for k in range(WIDTH)]]
-        yield pa.RecordBatch.from_arrays(columns, ["word", "n", *[f"v{k}" for k in range(WIDTH)]])
+                        total += np.bincount(centre + places[other, p], sign[other, p], len(total))
+        for group, at in enumerate(range(0, len(vocabulary), GROUP)):
+            own = total[at * WIDTH : (at + GROUP) * WIDTH]
+            if own.any():
+                yield pa.RecordBatch.from_arrays([pa.array([group], pa.int32()), pa.array([part_id], pa.int32()), pa.array([own.tobytes()], pa.binary())], SUMS)
 
     return run
 
 
-def word_vectors(docs: DataFrame, text: str = "text") -> np.ndarray:
-    """Random-indexing vectors of all WORDS buckets, from every neighbour in every text; at most WORDS rows reach the driver."""
-    names = [f"v{k}" for k in range(WIDTH)]
-    sums = docs.select(text).mapInArrow(_contexts(text), "word int, n long, " + ", ".join(f"{c} double" for c in names))
-    out = np.zeros((WORDS, WIDTH))
-    for r in sums.groupBy("word").agg(F.sum("n"), *[F.sum(c) for c in names]).collect():
-        v = np.array(r[2:])
-        out[r[0]] = v / max(1e-9, np.sqrt((v**2).sum()))
-    return out
+SUMS = ["group", "part", "sums"]
+
 
+def _added():
+    """Rows sorted by (group, part) to one row for each, their sums."""
+
+    def run(batches):
+        now, total = None, None
+        for batch in batches:
+            for group, p, own in zip(*(batch.column(c).to_pylist() for c in SUMS), strict=True):
+                if (group, p) != now:
+                    if now:
+                        yield row(*now, total)
+                    now, total = (group, p), np.zeros(len(own) // 8)
+                total = total + np.frombuffer(own)
+        if now:
+            yield row(*now, total)
+
+    def row(group, part, total):
+        return pa.RecordBatch.from_arrays([pa.array([group], pa.int32()), pa.array([part], pa.int32()), pa.array([total.tobytes()], pa.binary())], SUMS)
 
-def pool(column: pa.Array, vectors: np.ndarray, shapes: np.ndarray) -> np.ndarray:
+    return run
+
+
+def word_vectors(docs: DataFrame, text: str = "text") -> tuple[np.ndarray, np.ndarray]:
+    """(hashes of the vocabulary, sorted; their vectors). The vocabulary is the VOCABULARY most frequent words of all
+    texts; a vector is the sum of the index vectors of all neighbours in all texts, of length one. VOCABULARY rows and
+    as many vectors reach the driver. Whatever is not in it keeps its index vector, so that every word has one."""
+    rows = docs.select(F.col(text).alias("text"))
+    counts = rows.mapInArrow(_counts("text"), "word long, n long").groupBy("word").agg(F.sum("n").alias("n"))
+    vocabulary = np.sort(np.array([r.word for r in counts.orderBy(F.desc("n"), "word").limit(VOCABULARY).collect()], np.int64).view(np.uint64))
+    sums = rows.mapInArrow(_contexts("text", vocabulary), "group int, part int, sums binary")
+    for part in (F.pmod("part", F.lit(FAN_IN)), F.lit(0)):  # a group's rows are added up by many tasks first
+        sums = sums.withColumn("part", part).repartition("group", "part").sortWithinPartitions("group", "part")
+        sums = sums.mapInArrow(_added(), "group int, part int, sums binary")
+    out = np.zeros((len(vocabulary), WIDTH))
+    for r in sums.toLocalIterator():
+        own = np.frombuffer(r.sums).reshape(-1, WIDTH)
+        out[r.group * GROUP : r.group * GROUP + len(own)] += own
+    return vocabulary, (out / np.maximum(1e-9, np.sqrt((out**2).sum(axis=1)))[:, None]).astype(np.float32)
+
+
+def pool(column: pa.Array, vocabulary: np.ndarray, vectors: np.ndarray, shapes: np.ndarray) -> np.ndarray:
     """A row for each text: mean word vector, mean shape vector, share of repeats, length."""
     word, shape, first = tokens(column)
     n, count = len(first) - 1, np.diff(first)
     out = np.zeros((n, 2 * WIDTH + 2))
-    for at in range(0, n, 256):
-        to = min(n, at + 256)
-        w, s = word[first[at] : first[to]], shape[first[at] : first[to]]
-        row = np.repeat(np.arange(to - at), count[at:to])
-        size = np.maximum(1, count[at:to])[:, None]
-        by_word = np.bincount(row * WORDS + w, minlength=(to - at) * WORDS).reshape(-1, WORDS)
-        by_shape = np.bincount(row * SHAPES + s, minlength=(to - at) * SHAPES).reshape(-1, SHAPES)
-        out[at:to, :WIDTH] = by_word @ vectors / size
-        out[at:to, WIDTH : 2 * WIDTH] = by_shape @ shapes / size
-        out[at:to, -2] = by_shape[:, 0] / size[:, 0]
     out[:, -1] = np.log1p(count) / 10
+    if not len(word):
+        return out
+    kinds, which = np.unique(word, return_inverse=True)
+    at = known(kinds, vocabulary)
+    own = np.zeros((len(kinds), WIDTH), np.float32)
+    own[at >= 0], own[at < 0] = vectors[at[at >= 0]], index_vectors(kinds[at < 0])
+    some = np.flatnonzero(count)
+    for a, b in _runs(count[some]):
+        rows = some[a:b]
+        lo, hi = first[rows[0]], first[rows[-1] + 1]
+        starts, size = first[rows] - lo, count[rows][:, None]
+        out[rows, :WIDTH] = np.add.reduceat(own[which[lo:hi]], starts, axis=0, dtype=np.float64) / size
+        out[rows, WIDTH : 2 * WIDTH] = np.add.reduceat(shapes[shape[lo:hi]], starts, axis=0, dtype=np.float64) / size
+        out[rows, -2] = np.add.reduceat((shape[lo:hi] == 0).astype(float), starts) / size[:, 0]
     return out
 
 
+def _runs(count: np.ndarray, words: int = 1 << 17):
+    """Ranges of rows with about so many words; a longer row stands alone."""
+    ends, at = np.cumsum(count), 0
+    while at < len(count):
+        to = max(at + 1, int(np.searchsorted(ends, ends[at] - count[at] + words, "right")))
+        yield at, to
+        at = to
+
+
 class Network:
     """One hidden layer and a logistic output, by Adam over the whole sample; a temperature is fitted on a part kept back."""
 
@@ -154,38 +234,41 @@ def fold(key: str):
     return F.crc32(F.coalesce(F.col(key).cast("string"), F.lit("")).cast("binary")) % 5
 
 
-def _pooled(vectors, shapes, text):
+def _pooled(model, text):
     def run(batches):
         for batch in batches:
             for part in slices(batch, text):
-                x = pool(part.column(text), vectors, shapes)
+                x = pool(part.column(text), *model)
                 flat = pa.ListArray.from_arrays(pa.array(np.arange(len(x) + 1, dtype=np.int32) * x.shape[1]), pa.array(x.ravel()))
-                yield pa.RecordBatch.from_arrays([part.column("_y"), part.column("_fold"), flat], ["y", "fold", "x"])
+                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in ("_key", "_y", "_fold")), flat], ["key", "y", "fold", "x"])
 
     return run
 
 
 def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", sample: int = SAMPLE, key: str = "doc_id", text: str = "text"):
-    """(word vectors, shape vectors, network). Labels come only from rows whose fold is not 0; at most `sample` documents do."""
+    """(vocabulary, word vectors, shape vectors, network). Labels come only from rows whose fold is not 0; the network
+    is fitted on at most `sample` labelled ids, those of smallest hash, each once: of documents that share an id the one
+    whose pooled vector is least, of its labels the greatest."""
     ship(docs.sparkSession)
-    vectors, shapes = word_vectors(docs, text), dense(SHAPE_INDEX)
+    space = (*word_vectors(docs, text), index_vectors(np.arange(SHAPES, dtype=np.uint64)))
     own = labels.where(F.col(label).isNotNull() & F.col(key).isNotNull() & (fold(key) != 0))
     own = own.groupBy(F.col(key).alias("_key")).agg(F.max(label).cast("double").alias("_y")).orderBy(F.xxhash64("_key", F.lit(9)), "_key").limit(sample)
     own = Work(docs.sparkSession, "quality").table(own.withColumn("_fold", fold("_key").cast("int")), "sample")
-    rows = docs.select(F.col(key).alias("_id"), text).join(F.broadcast(own), F.col("_id") == F.col("_key")).select("_y", "_fold", text)
-    got = rows.mapInArrow(_pooled(vectors, shapes, text), "y double, fold int, x array<double>").limit(4 * sample).collect()
+    rows = docs.select(F.col(key).alias("_id"), F.col(text).alias("_text")).join(F.broadcast(own), F.col("_id") == F.col("_key")).select("_key", "_y", "_fold", "_text")
+    kind = own.schema["_key"].dataType.simpleString()
+    got = rows.mapInArrow(_pooled(space, "_text"), f"key {kind}, y double, fold int, x array<double>").groupBy("key").agg(F.min(F.struct("fold", "y", "x")).alias("r")).select("r.*").collect()
     got.sort(key=lambda r: (r.fold, r.y, r.x))
     x = np.array([r.x for r in got]).reshape(len(got), 2 * WIDTH + 2)
-    return vectors, shapes, Network(x, np.array([r.y for r in got]), np.array([r.fold == 1 for r in got], bool))
+    return *space, Network(x, np.array([r.y for r in got]), np.array([r.fold == 1 for r in got], bool))
 
 
 def _score(model, text: str, keep: list[str]):
-    vectors, shapes, network = model
+    *space, network = model
 
     def run(batches):
         for batch in batches:
             for part in slices(batch, text):
-                s = network.score(pool(part.column(text), vectors, shapes))
+                s = network.score(pool(part.column(text), *space))
                 yield pa.RecordBatch.from_arrays([*[part.column(c) for c in keep], pa.array(s, pa.float64())], [*keep, "_score"])
 
     return run

@@ -466,6 +466,53 @@ def test_quality(spark):
     assert sum(r.predicted == labels[r.doc_id] for r in held) / len(held) >= 0.95
 
 
+def test_quality_by_a_plain_version(spark):
+    """Vectors, pooling and score, word by word, for the weights that were fitted."""
+    from pricelattice.llm.words import word_hashes
+
+    texts = ["the cat sat on the mat", "a dog, a DOG and the Cat", "", "one", "no no no!", "the cat the dog 12 a1"] * 3 + [H.text(30, k) for k in range(20)]
+    rows = [(k, t, "en", "s", 1) for k, t in enumerate(texts)]
+    docs = spark.createDataFrame(rows, H.DOCUMENTS)
+    model = quality.fit(docs, spark.createDataFrame([(k, k % 2) for k in range(len(texts))], "doc_id long, quality int"))
+    code = lambda w: int(word_hashes(np.frombuffer(w.encode(), np.uint8), np.array([0, len(w.encode())]))[0][0])
+    index = lambda h: quality.index_vectors(np.array([h], np.uint64))[0]
+    lists = [[w for w in H.WORDS.findall(t)] for t in texts]
+    sums: dict = {}
+    for ws in lists:
+        for k, w in enumerate(ws):
+            v = sums.setdefault(code(w.translate(H.LOWER)), np.zeros(quality.WIDTH))
+            for n in (k - 1, k + 1):
+                if 0 <= n < len(ws):
+                    v += index(code(ws[n].translate(H.LOWER))) * np.sqrt(quality.PLACES)
+    vocabulary, vectors, shapes, network = model
+    assert set(vocabulary.tolist()) == set(sums)
+    plain_vector = {h: v / max(1e-9, np.sqrt((v**2).sum())) for h, v in sums.items()}
+    assert all(np.allclose(vectors[k], plain_vector[h], atol=1e-6) for k, h in enumerate(vocabulary.tolist()))
+    import pyarrow as pa
+
+    got = quality.pool(pa.array(texts), vocabulary, vectors, shapes)
+    for k, ws in enumerate(lists):
+        n = max(1, len(ws))
+        mean = sum((plain_vector[code(w.translate(H.LOWER))] for w in ws), np.zeros(quality.WIDTH)) / n
+        repeats = sum(a.translate(H.LOWER) == b.translate(H.LOWER) for a, b in zip(ws, ws[1:], strict=False)) / n
+        assert np.allclose(got[k, : quality.WIDTH], mean, atol=1e-6) and np.isclose(got[k, -2], repeats) and np.isclose(got[k, -1], np.log(1 + len(ws)) / 10)
+    z = [float(np.tanh(((x - network.mean) / network.scale) @ network.p[0] + network.p[1]) @ network.p[2] + network.p[3][0]) for x in got]
+    want = {k: 1 / (1 + np.exp(-v / network.temperature)) for k, v in enumerate(z)}
+    scored = {r.doc_id: r._score for r in quality.score_quality(docs, model).collect()}
+    assert all(np.isclose(scored[k], want[k], atol=1e-9) for k in want)
+    # words beyond the vocabulary keep their index vectors
+    few = quality.pool(pa.array(["cat zebra"]), vocabulary[:0], vectors[:0], shapes)[0]
+    assert np.allclose(few[: quality.WIDTH], (index(code("cat")) + index(code("zebra"))) / 2, atol=1e-6)
+
+
+def test_quality_repeated_ids(spark):
+    """Ids that repeat count once in the fit, whatever the order of rows."""
+    rows = [(k % 40, H.text(20 + k % 7, k) if k % 2 else "bad!! " * (20 + k % 5), "en", "s", 1) for k in range(400)]
+    labels = spark.createDataFrame([(k, k % 2) for k in range(40)], "doc_id long, quality int")
+    one, other = (quality.fit(spark.createDataFrame(r, H.DOCUMENTS).repartition(n), labels)[-1] for r, n in ((rows, 3), (rows[::-1], 5)))
+    assert np.allclose(one.p[0], other.p[0]) and one.temperature == other.temperature
+
+
 def test_quality_learns_from_its_fold(spark):
     """Labels of the held-out fold change nothing."""
     rows = [(k, H.text(40, k) if k % 2 else "bad!! " * 40, "en", "s", 1) for k in range(120)]
