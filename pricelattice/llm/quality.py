@@ -15,6 +15,8 @@ from .words import SPACE, U, mix, prefix_hash, range_hash, spans, word_hashes
 VOCABULARY, SHAPES, WIDTH, PLACES = 16_384, 1024, 64, 4
 #: Words whose sums travel as one row, and tasks that first add up a group's rows.
 GROUP, FAN_IN = 256, 256
+#: Words whose vectors are gathered at once.
+STEP = 1 << 14
 #: The network is fitted on up to so many labelled documents, those of smallest hash.
 SAMPLE = 12_000
 HIDDEN, EPOCHS, THRESHOLD = 32, 400, 0.3
@@ -168,28 +170,20 @@ def pool(column: pa.Array, vocabulary: np.ndarray, vectors: np.ndarray, shapes:
         return out
     kinds, which = np.unique(word, return_inverse=True)
     at = known(kinds, vocabulary)
-    own = np.zeros((len(kinds), WIDTH), np.float32)
+    own = np.zeros((len(kinds), WIDTH))
     own[at >= 0], own[at < 0] = vectors[at[at >= 0]], index_vectors(kinds[at < 0])
-    some = np.flatnonzero(count)
-    for a, b in _runs(count[some]):
-        rows = some[a:b]
-        lo, hi = first[rows[0]], first[rows[-1] + 1]
-        starts, size = first[rows] - lo, count[rows][:, None]
-        out[rows, :WIDTH] = np.add.reduceat(own[which[lo:hi]], starts, axis=0, dtype=np.float64) / size
-        out[rows, WIDTH : 2 * WIDTH] = np.add.reduceat(shapes[shape[lo:hi]], starts, axis=0, dtype=np.float64) / size
-        out[rows, -2] = np.add.reduceat((shape[lo:hi] == 0).astype(float), starts) / size[:, 0]
+    for k in np.flatnonzero(count).tolist():
+        a, b, size = int(first[k]), int(first[k + 1]), int(count[k])
+        for lo in range(a, b, STEP):
+            some = which[lo : min(b, lo + STEP)]
+            out[k, :WIDTH] += np.ones(len(some)) @ own[some]
+        by_shape = np.bincount(shape[a:b], minlength=SHAPES)
+        out[k, WIDTH : 2 * WIDTH] = by_shape @ shapes
+        out[k, -2] = by_shape[0]
+        out[k, :-1] /= size
     return out
 
 
-def _runs(count: np.ndarray, words: int = 1 << 17):
-    """Ranges of rows with about so many words; a longer row stands alone."""
-    ends, at = np.cumsum(count), 0
-    while at < len(count):
-        to = max(at + 1, int(np.searchsorted(ends, ends[at] - count[at] + words, "right")))
-        yield at, to
-        at = to
-
-
 class Network:
     """One hidden layer and a logistic output, by Adam over the whole sample; a temperature is fitted on a part kept back."""
 
