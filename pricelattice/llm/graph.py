@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Work
+from .common import Work, hot_join
 
 
 def _print(e: DataFrame) -> tuple:
@@ -17,7 +17,7 @@ def components(edges: DataFrame, work: Work) -> DataFrame:
 
     Each round every node hangs its larger neighbours on its smallest one (large star), then its smaller neighbours
     too (small star); rounds end when nothing changes, in about the logarithm of the longest path. A hot node is a
-    sum by key first and one side of a join after, which the adaptive planner can split. Self-loops and repeated
+    sum by key first; what it becomes, one row of at most a thousand such, is broadcast to its edges. Self-loops and repeated
     edges change nothing; nodes without an edge are not returned; an empty table gives an empty one.
     """
     e = edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
@@ -25,10 +25,10 @@ def components(edges: DataFrame, work: Work) -> DataFrame:
     seen = _print(e)
     while seen[0]:
         both = e.unionAll(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m"))
-        large = both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
-        least = large.groupBy("a").agg(F.min("b").alias("m"))
-        hung = large.join(least, "a").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
+        least = both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m"), F.count_if(F.col("b") > F.col("a")).alias("n"))
+        large = hot_join(both.where("b > a"), least, "a", seen[0]).select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
+        least = large.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("n"))
+        hung = hot_join(large, least, "a", seen[0]).where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
         e = work.table(hung.unionAll(least.select("a", F.col("m").alias("b"))).distinct(), "edges")
         now = _print(e)
         if now == seen:

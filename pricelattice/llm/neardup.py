@@ -105,34 +105,53 @@ def _sets(n: int, text: str):
 def link(nodes: list[int], sets: list[np.ndarray], num: int, den: int) -> list[tuple[int, int]]:
     """Edges that join the sets as all links of den * intersection >= num * union would, a forest of them.
 
-    One set after another is held against all others at once. Sets that are in the largest component by then need no
-    turn of their own: whoever is not in it takes one, and meets them there.
+    Linked sets share one of the rarest shingles of both: of n, all but num * n / den, and one more. One set after
+    another is held against those that share such a shingle and are not joined with it yet. Sets that are in the largest
+    component by then need no turn of their own: whoever is not in it takes one, and meets them there. Unlike sets cost
+    their own shingles, alike ones the sets that they join.
     """
     n = len(sets)
     size = np.array([len(s) for s in sets])
-    starts = np.cumsum(size) - size
-    values, flat = np.unique(np.concatenate(sets), return_inverse=True)
-    mark = np.zeros(len(values), bool)
+    ends = np.cumsum(size)
+    starts = ends - size
+    _, flat, often = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    owner = np.repeat(np.arange(n), size)
+    by_rarity = np.lexsort((flat, often[flat], owner))
+    rank = np.empty(len(flat), np.int64)
+    rank[by_rarity] = np.arange(len(flat)) - starts[owner]
+    rare = rank < (size - -(-num * size // den) + 1)[owner]
+    key, whose = flat[rare], owner[rare]
+    sort = np.argsort(key, kind="stable")
+    whose = whose[sort]
+    first = np.searchsorted(key[sort], np.arange(len(often) + 1))
+    mark = np.zeros(len(often), bool)
     label = np.unique(np.array(nodes, np.int64), return_inverse=True)[1].astype(np.int64)
     waiting = np.ones(n, bool)
+    turns = np.argsort(np.abs(size - np.median(size)), kind="stable").tolist()
     edges = []
-    while True:
-        count = np.bincount(label, minlength=n)
-        big = int(count.argmax())
-        todo = np.flatnonzero(waiting & (label != big))
-        if not len(todo):
-            return edges
-        c = int(todo[size[todo].argsort(kind="stable")[len(todo) // 2]])
-        waiting[c] = False
-        own = flat[starts[c] : starts[c] + size[c]]
-        mark[own] = True
-        both = np.add.reduceat(mark[flat].astype(np.int32), starts)
-        mark[own] = False
-        hit = (den * both >= num * (size + size[c] - both)) & (label != label[c])
-        for k in np.flatnonzero(hit).tolist():
-            if label[k] != label[c]:
-                edges.append((nodes[c], nodes[k]))
-                label[label == label[k]] = label[c]
+    big, again = int(np.bincount(label).argmax()), True
+    while again:
+        again = False
+        for c in turns:
+            if not waiting[c] or label[c] == big:
+                continue
+            waiting[c], again = False, True
+            own = slice(starts[c], ends[c])
+            near = np.unique(np.concatenate([whose[first[t] : first[t + 1]] for t in flat[own][rare[own]].tolist()]))
+            near = near[(label[near] != label[c]) & (den * np.minimum(size[near], size[c]) >= num * np.maximum(size[near], size[c]))]
+            if not len(near):
+                continue
+            mark[flat[own]] = True
+            both = np.add.reduceat(np.concatenate([mark[flat[starts[k] : ends[k]]] for k in near.tolist()]).astype(np.int64), np.cumsum(size[near]) - size[near])
+            mark[flat[own]] = False
+            hit = near[den * both >= num * (size[near] + size[c] - both)]
+            for k in hit.tolist():
+                if label[k] != label[c]:
+                    edges.append((nodes[c], nodes[k]))
+                    label[label == label[k]] = label[c]
+            if len(hit):
+                big = int(np.bincount(label).argmax())
+    return edges
 
 
 def _cells(num: int, den: int):

@@ -200,6 +200,34 @@ def test_bands_hold_links():
                 assert (own.bands(a) == own.bands(b)).any()
 
 
+def test_links_of_a_cell():
+    """The forest joins what all pairs would join; unlike sets cost little."""
+    import time
+
+    r = np.random.default_rng(0)
+    for _ in range(200):
+        n, some = int(r.integers(1, 14)), r.integers(0, 2**62, 30).astype(np.uint64)
+        sets, num = [np.unique(r.choice(some, r.integers(1, 25))) for _ in range(n)], int(r.choice([50, 80, 85, 100]))
+
+        def groups(edges, n=n):
+            label = list(range(n))
+            for a, b in edges:
+                label = [label[a] if x == label[b] else x for x in label]
+            return {frozenset(k for k in range(n) if label[k] == x) for x in label}
+
+        both = lambda a, b: len(np.intersect1d(a, b))
+        alike = [(i, j) for i in range(n) for j in range(i) if 100 * both(sets[i], sets[j]) >= num * (len(sets[i]) + len(sets[j]) - both(sets[i], sets[j]))]
+        got = neardup.link(list(range(n)), sets, num, 100)
+        assert groups(got) == groups(alike) and len(got) == n - len(groups(got))
+    took = []
+    for n in (400, 3200):
+        sets = [np.unique(r.integers(0, 2**62, 200).astype(np.uint64)) for _ in range(n)]
+        at = time.perf_counter()
+        assert neardup.link(list(range(n)), sets, 85, 100) == []
+        took.append(time.perf_counter() - at)
+    assert took[1] < 30 * took[0]
+
+
 # 3
 
 
