@@ -21,6 +21,8 @@ CELL_BLOCKS, CELL_QUERIES = 16, 32
 SAMPLE, PIVOTS, BANDS = 1024, 24, 16
 #: Rows below which a band, or a tile, is not made smaller.
 LEAST = 256
+#: Queries whose best a task holds at once.
+HELD = 50_000
 RESULT = "query_id long, vec_id long, rid long, score {}"
 
 
@@ -296,10 +298,15 @@ def _search(index: Index, k: int, visited):
     """Sorted rows of a cell, its blocks first, then blocks of queries. From the queries' own distance outward each
     block of an annulus is visited by those queries whose bound still reaches it; what they find raises their floor."""
 
-    def answer(blocks, row):
+    def answer(blocks, row, held):
         ids, q = np.frombuffer(row["ids"], np.int64), unpack(row["kind"], row["v"], index.width)
         qd, floor, floor_id = np.frombuffer(row["dist"]), np.frombuffer(row["floor"], np.int64).copy(), np.frombuffer(row["floor_id"], np.int64).copy()
-        held: dict[int, tuple] = {}
+        keys = [(own, v.tobytes()) for own, v in zip(ids.tolist(), q, strict=True)]
+        for m, key in enumerate(keys):  # what this task has found for the query raises its floor
+            if key in held and len(held[key][0]) == k:
+                x, s, _ = held[key]
+                if s[-1] > floor[m] or (s[-1] == floor[m] and x[-1] < floor_id[m]):
+                    floor[m], floor_id[m] = s[-1], x[-1]
         middle, seen = np.median(qd), 0
         for block in sorted(blocks, key=lambda b: max(b["near"] - middle, middle - b["far"], 0.0)):
             reach = index.reach(q, floor)
@@ -318,20 +325,21 @@ def _search(index: Index, k: int, visited):
                 for t in np.flatnonzero(hit.any(axis=1)).tolist():
                     m, near = int(some[t]), np.flatnonzero(hit[t])
                     x, s, r = own[near], p[t][near], block["rids"][lo:hi][near]
-                    if m in held:
-                        x, s, r = (np.concatenate(c) for c in zip(held[m], (x, s, r), strict=True))
+                    if keys[m] in held:
+                        x, s, r = (np.concatenate(c) for c in zip(held[keys[m]], (x, s, r), strict=True))
                     top = smallest(-s, x, k)
-                    held[m] = x[top], s[top], r[top]
-                    if len(top) == k:
+                    held[keys[m]] = x[top], s[top], r[top]
+                    if len(top) == k and (s[top[-1]] > floor[m] or (s[top[-1]] == floor[m] and x[top[-1]] < floor_id[m])):
                         floor[m], floor_id[m] = s[top[-1]], x[top[-1]]
         if visited is not None:
             visited.add(seen)
-        if held:
-            columns = [np.concatenate([np.full(len(x), ids[m]) for m, (x, _, _) in held.items()]), *(np.concatenate([h[c] for h in held.values()]) for c in (0, 2, 1))]
-            yield _block(dict(zip(("query_id", "vec_id", "rid", "score"), map(pa.array, columns), strict=True)))
+
+    def flush(held):
+        columns = [np.concatenate([np.full(len(h[0]), key[0]) for key, h in held.items()]), *(np.concatenate([h[c] for h in held.values()]) for c in (0, 2, 1))]
+        return _block(dict(zip(("query_id", "vec_id", "rid", "score"), map(pa.array, columns), strict=True)))
 
     def run(batches):
-        now, blocks = None, []
+        now, blocks, held = None, [], {}  # only a query's k best of all its cells leave the task
         for batch in batches:
             for r in range(batch.num_rows):
                 row = {c: batch.column(c)[r].as_py() for c in batch.schema.names}
@@ -340,7 +348,12 @@ def _search(index: Index, k: int, visited):
                 if row["part"] == 0:
                     blocks.append({"near": row["near"], "far": row["far"], "rids": np.frombuffer(row["rids"], np.int64), "ids": np.frombuffer(row["ids"], np.int64), "v": unpack(row["kind"], row["v"], index.width), "dist": np.frombuffer(row["dist"])})
                 else:
-                    yield from answer(blocks, row)
+                    answer(blocks, row, held)
+                    if len(held) >= HELD:
+                        yield flush(held)
+                        held = {}
+        if held:
+            yield flush(held)
 
     return run
 
