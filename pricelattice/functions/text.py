@@ -431,3 +431,30 @@ def is_cron(c: Column) -> Column:
     """Five fields of numbers, ranges, steps and lists."""
     field = r"(?:\*|\d+(?:-\d+)?)(?:/\d+)?(?:,(?:\*|\d+(?:-\d+)?)(?:/\d+)?)*"
     return F.coalesce(F.trim(c).rlike("^" + r"\s+".join([field] * 5) + "$"), F.lit(False))
+
+
+# What a name on a web page is junk by, and names of shops that sell no meals, each with its reason.
+PAGE_JUNK = r"(?i)\d+\s*%|à partir de|moitié prix|half price|% off|% de réduction|korting|rabais"
+NON_FOOD = (
+    (r"carrefour|intermarch[eé]|intermarche", "non_food:grocery"),
+    (r"(proxy|express).{0,6}delhaize|delhaize.{0,6}(proxy|express)", "non_food:grocery"),
+    (r"night[\s\-]?shop|day[\s\-]?night[\s\-]?soner|easy[\s\-]?day[\s\-]?shop|easy[\s\-]?market[\s\-]?shop|king[\s\-']?s[\s\-]?shop|fazi[\s\-]?shop|pardesi[\s\-]?night|shine[\s\-]?ronny", "non_food:convenience"),
+    (r"librairie|press[\s\-]?shop|glory[\s\-]?press", "non_food:press"),
+    (r"tom\s*&\s*co\b|une\s+vie\s+de\s+chien", "non_food:pet"),
+    (r"wines?\s*[&+]\s*spirits?|wines?\s+and\s+spirits?", "non_food:wine"),
+    (r"candy.{0,10}(go|shop)|(go|shop).{0,10}candy|neuhaus", "non_food:candy"),
+    (r"flowers?\s*forever", "non_food:florist"),
+    (r"vid[eé]o[\s\-]?box", "non_food:video"),
+)
+
+
+def is_page_junk(name: Column) -> Column:
+    """Whether a name found on a web page is none: under four characters, pictures, or an offer."""
+    s = F.trim(name)
+    return (F.length(s) < 4) | s.rlike(PAGE_JUNK) | s.rlike("[\u2600-\u27bf\U00010000-\U0010ffff]")
+
+
+def non_food(name: Column, slug_: Column) -> Column:
+    """Why a shop sells no meals, by its name and slug; null if nothing says so. The first rule that holds decides."""
+    s = F.concat_ws(" ", F.coalesce(name, F.lit("")), F.coalesce(slug_, F.lit("")))
+    return F.coalesce(*[F.when(s.rlike("(?i)" + p), why) for p, why in NON_FOOD])

@@ -1,7 +1,8 @@
-"""A small fluent query over a table: select, predicates with not_, order, limit."""
+"""A small fluent query over a table: select, predicates with not_, order, limit, and writes."""
 
 from __future__ import annotations
 
+import json
 import re
 
 from pyspark.sql import Column, DataFrame
@@ -80,5 +81,47 @@ class Query:
         return out if self._columns == ["*"] else out.select(*self._columns)
 
 
+    # Writes: what the table is after them.
+
+    def _hit(self) -> Column:
+        out = F.lit(True)
+        for t in self._tests:
+            out = out & t
+        return F.coalesce(out, F.lit(False))
+
+    def update(self, values: dict) -> DataFrame:
+        """The table with these values in the rows that the predicates hold for; dicts and lists become JSON texts."""
+        hit = self._hit()
+        new = {self._checked(c): F.when(hit, F.lit(coerce(v))).otherwise(F.col(c)) for c, v in values.items()}
+        return self._rows.select(*[new[c].alias(c) if c in new else F.col(c) for c in self._rows.columns])
+
+    def delete(self) -> DataFrame:
+        return self._rows.where(~self._hit())
+
+    def insert(self, rows) -> DataFrame:
+        """The table with rows, a dict or a list of dicts, at its end; columns that a row lacks are null."""
+        return self._rows.unionByName(self._new(rows))
+
+    def upsert(self, rows, on_conflict: str, preserve: tuple[str, ...] = ()) -> DataFrame:
+        """The table with rows put in by the columns of on_conflict; nulls do not erase the columns in preserve."""
+        from .mutate import upsert
+
+        rows = [rows] if isinstance(rows, dict) else list(rows)
+        names = {c for r in rows for c in r}
+        return upsert(self._rows, self._new(rows).select(*[c for c in self._rows.columns if c in names]), [self._checked(c.strip()) for c in on_conflict.split(",")], preserve)
+
+    def _new(self, rows) -> DataFrame:
+        rows = [rows] if isinstance(rows, dict) else list(rows)
+        for c in {c for r in rows for c in r}:
+            self._checked(c)
+        data = [tuple(coerce(r.get(c)) for c in self._rows.columns) for r in rows]
+        return self._rows.sparkSession.createDataFrame(data, self._rows.schema)
+
+
+def coerce(value):
+    """Dicts and lists as JSON texts, nulls in them kept; anything else as it is."""
+    return json.dumps(value) if isinstance(value, (dict, list)) else value
+
+
 def from_table(rows: DataFrame) -> Query:
     return Query(rows)

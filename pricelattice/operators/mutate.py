@@ -14,10 +14,11 @@ def upsert(old: DataFrame, delta: DataFrame, keys: list[str], preserve: tuple[st
     """old with delta's rows put in by key: delta's values win, but its nulls do not in `preserve`.
 
     Columns that delta lacks keep their old value. If delta may repeat a key, `order` names the column whose
-    greatest row counts.
+    greatest row counts; of several such rows the greatest by its other columns.
     """
     if order:
-        w = Window.partitionBy(*keys).orderBy(F.col(order).desc_nulls_last())
+        rest = [F.col(c).desc_nulls_last() for c, t in delta.dtypes if c not in (order, *keys) and not t.startswith("map")]
+        w = Window.partitionBy(*keys).orderBy(F.col(order).desc_nulls_last(), *rest)
         delta = delta.withColumn("_n", F.row_number().over(w)).where("_n = 1").drop("_n")
     o, d = old.withColumn("_old", F.lit(True)).alias("o"), delta.withColumn("_new", F.lit(True)).alias("d")
     joined = o.join(d, [F.col(f"o.{k}") == F.col(f"d.{k}") for k in keys], "full_outer")
@@ -117,7 +118,7 @@ def close_orphans(runs: DataFrame, as_of: Column, hours: int) -> DataFrame:
 
 def run_state(events: DataFrame) -> DataFrame:
     """The last event of each run, with the last known value of what it leaves out."""
-    w = Window.partitionBy("run_id").orderBy("at")
+    w = Window.partitionBy("run_id").orderBy("at", *(c for c in events.columns if c not in ("run_id", "at")))
     known = [F.last(c, ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)).alias(c) for c in events.columns if c not in ("run_id", "at")]
     return events.select("run_id", F.max("at").over(Window.partitionBy("run_id")).alias("at"), *known).distinct()
 

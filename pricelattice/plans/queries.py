@@ -10,7 +10,7 @@ from ..operators import builder, compare, mutate, rank, reads, resolve
 from ..sources import payloads
 from ..streaming import state
 from . import cases
-from .tables import DEALS, FRESH, HAVERSINE, LISTINGS, OFFERS, ORDER, PLACES, as_of, deals, listings, offers, places, platform, read, restaurants, values
+from .tables import DEALS, FRESH, HAVERSINE, LISTINGS, OFFERS, ORDER, PLACES, as_of, deals, listings, newest, offers, places, platform, read, restaurants, values
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -438,8 +438,8 @@ UPSERT = f"""{OFFERS}, od AS (SELECT * FROM o WHERE last_scraped_at < {_SPLIT} Q
 def _old_new(spark, d):
     rows = offers(spark, d)
     cut = F.lit("2000-01-01 00:00:00").cast(dict(rows.dtypes)["last_scraped_at"])
-    newest = lambda x: x.groupBy("restaurant_id", "platform").agg(F.max(F.struct("last_scraped_at", "id", "fee_cents", "eta_min")).alias("n")).select("restaurant_id", "platform", "n.*")
-    return newest(rows.where(F.col("last_scraped_at") < cut)), newest(rows.where(F.col("last_scraped_at") >= cut)).withColumn("fee_cents", F.when(F.col("id") % 3 != 0, F.col("fee_cents")))
+    last = lambda x: newest(x, ["restaurant_id", "platform"], "last_scraped_at", "id", ["fee_cents", "eta_min"])
+    return last(rows.where(F.col("last_scraped_at") < cut)), last(rows.where(F.col("last_scraped_at") >= cut)).withColumn("fee_cents", F.when(F.col("id") % 3 != 0, F.col("fee_cents")))
 
 
 @query(f"WITH {UPSERT} SELECT coalesce(nw.restaurant_id, od.restaurant_id) AS restaurant_id, coalesce(nw.platform, od.platform) AS platform, coalesce(nw.fee_cents, od.fee_cents) AS fee_cents, CASE WHEN nw.id IS NOT NULL THEN nw.eta_min ELSE od.eta_min END AS eta_min FROM od FULL JOIN nw ON od.restaurant_id = nw.restaurant_id AND od.platform = nw.platform")
@@ -473,11 +473,15 @@ def fee_history(spark, d):
     return state.change_log(e, "user_id", "at", ["v"]).select("event_id", "user_id", "v")
 
 
-@query("SELECT event_id, count(*) OVER w AS in_window, count(*) OVER w <= 2 AS allowed FROM events WINDOW w AS (PARTITION BY user_id % 50 ORDER BY ts RANGE BETWEEN INTERVAL 3600 SECOND PRECEDING AND CURRENT ROW)")
+@query("""WITH RECURSIVE o AS (SELECT event_id, user_id % 50 AS k, epoch_us(ts) AS t, row_number() OVER (PARTITION BY user_id % 50 ORDER BY ts, event_id) AS n FROM events),
+ r AS (SELECT k, 0::BIGINT AS n, []::BIGINT[] AS kept, NULL::BIGINT AS event_id, 0::BIGINT AS in_window, FALSE AS allowed FROM o GROUP BY k
+  UNION ALL SELECT o.k, o.n, CASE WHEN len(list_filter(kept, lambda x: o.t - x <= 3600000000)) < 2 THEN list_append(list_filter(kept, lambda x: o.t - x <= 3600000000), o.t) ELSE list_filter(kept, lambda x: o.t - x <= 3600000000) END,
+   o.event_id, len(list_filter(kept, lambda x: o.t - x <= 3600000000)), len(list_filter(kept, lambda x: o.t - x <= 3600000000)) < 2 FROM r JOIN o ON o.k = r.k AND o.n = r.n + 1)
+ SELECT event_id, in_window, allowed FROM r WHERE n > 0""")
 def rate_limit_sliding(spark, d):
-    """A sliding limit for each key."""
+    """A sliding limit for each key; what is refused does not count."""
     e = read(spark, d, "events").withColumn("k", F.col("user_id") % 50)
-    return state.sliding_limit(e, "k", "ts", 2).select("event_id", "in_window", "allowed")
+    return state.sliding_limit(e, "k", "ts", 2, tie="event_id").select("event_id", "in_window", "allowed")
 
 
 @query("""WITH c AS (SELECT user_id AS restaurant_id, event_type AS source, '+32' || regexp_extract(props, '(\\d+)', 1) AS phone FROM events), p AS (SELECT restaurant_id, phone, list_sort(list(DISTINCT source)) AS s FROM c GROUP BY 1, 2)

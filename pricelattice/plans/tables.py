@@ -36,12 +36,22 @@ def offers(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def newest(rows: DataFrame, keys: list[str], at: str, tie: str, fixed: list[str], letters: tuple[str, ...] = ()) -> DataFrame:
+    """The newest row of each key: its time and tie packed into one decimal that every column is the greatest by.
+
+    Only columns of fixed width (`fixed`, and texts of one letter as their codes) are buffers that a hash aggregate can
+    hold, so rows combine before the shuffle and nothing is sorted. tie is a long, not negative, one for each row.
+    """
+    order = F.unix_micros(F.col(at).cast("timestamp")).cast("decimal(38,0)") * F.lit("1" + "0" * 19).cast("decimal(20,0)") + F.col(tie)
+    r = rows.withColumn("_o", order.cast("decimal(38,0)"))
+    by = [F.max_by(c, "_o").alias(c) for c in (at, tie, *fixed)] + [F.max_by(F.ascii(c), "_o").alias(c) for c in letters]
+    out = r.groupBy(*keys).agg(*by)
+    return out.select(*[F.char(c).alias(c) if c in letters else F.col(c) for c in out.columns])
+
+
 def listings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The newest capture of each (restaurant, platform): one aggregate that combines before the shuffle."""
-    rows = offers(spark, sf_dir)
-    rest = [c for c in rows.columns if c not in ("restaurant_id", "platform", "last_scraped_at", "id")]
-    newest = F.max(F.struct("last_scraped_at", "id", *rest)).alias("n")
-    return rows.groupBy("restaurant_id", "platform").agg(newest).select("restaurant_id", "platform", "n.*")
+    """The newest capture of each (restaurant, platform)."""
+    return newest(offers(spark, sf_dir), ["restaurant_id", "platform"], "last_scraped_at", "id", ["fee_cents", "eta_min"], ("flag",))
 
 
 OFFERS = """o AS (SELECT l_orderkey * 10 + l_linenumber AS id, l_partkey AS restaurant_id, ['uber_eats', 'deliveroo', 'takeaway', 'direct'][(l_suppkey % 4 + 1)::INT] AS platform,
