@@ -15,8 +15,10 @@ from .words import SPACE, U, mix, prefix_hash, range_hash, spans, word_hashes
 VOCABULARY, SHAPES, WIDTH, PLACES = 16_384, 1024, 64, 4
 #: Words whose sums travel as one row, and tasks that first add up a group's rows.
 GROUP, FAN_IN = 256, 256
-#: Words whose vectors are gathered at once.
-STEP = 1 << 14
+#: Bytes of text at once.
+PART = 1 << 19
+#: Words whose vectors are gathered at once, and words that are counted at once.
+STEP, COUNTED = 1 << 14, 1 << 20
 #: The network is fitted on up to so many labelled documents, those of smallest hash.
 SAMPLE = 12_000
 HIDDEN, EPOCHS, THRESHOLD = 32, 400, 0.3
@@ -28,18 +30,17 @@ CLASS[65:91] = 65
 CLASS[48:58] = 48
 
 
-def index_places(hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The index vector of a hash, whatever it stands for: PLACES places, each with a sign; all other components are 0."""
+def index_places(hashes: np.ndarray):
+    """The index vector of each hash, whatever it stands for: PLACES times a place and a sign; other components are 0."""
     h = mix(hashes)
-    at = np.stack([(h >> U(8 * k)) % U(WIDTH) for k in range(PLACES)], axis=1).astype(np.int64)
-    return at, 1.0 - 2.0 * np.stack([(h >> U(48 + k)) & U(1) for k in range(PLACES)], axis=1)
+    for k in range(PLACES):
+        yield ((h >> U(8 * k)) % U(WIDTH)).astype(np.int64), 1.0 - 2.0 * ((h >> U(48 + k)) & U(1))
 
 
 def index_vectors(hashes: np.ndarray) -> np.ndarray:
-    at, sign = index_places(hashes)
     out = np.zeros((len(hashes), WIDTH))
-    for k in range(PLACES):
-        out[np.arange(len(hashes)), at[:, k]] += sign[:, k]
+    for at, sign in index_places(hashes):
+        out[np.arange(len(hashes)), at] += sign
     return out / np.sqrt(PLACES)
 
 
@@ -70,15 +71,15 @@ def known(words: np.ndarray, vocabulary: np.ndarray) -> np.ndarray:
 
 
 def _counts(text: str):
-    """Words with their counts, a row for each word and some megabytes of text."""
+    """Words with their counts, a row for each word and COUNTED words or a little more."""
 
     def run(batches):
         words, n = [], 0
         for batch in batches:
-            for part in slices(batch, text):
+            for part in slices(batch, text, PART):
                 words.append(tokens(part.column(text))[0])
                 n += len(words[-1])
-                if n >= 1 << 22:
+                if n >= COUNTED:
                     yield from rows(words)
                     words, n = [], 0
         yield from rows(words)
@@ -97,10 +98,9 @@ def _contexts(text: str, vocabulary: np.ndarray):
     def run(batches):
         part_id, total = TaskContext.get().partitionId(), np.zeros(len(vocabulary) * WIDTH)
         for batch in batches:
-            for part in slices(batch, text):
+            for part in slices(batch, text, PART):
                 word, _, first = tokens(part.column(text))
                 own = known(word, vocabulary)
-                places, sign = index_places(word)
                 near = np.ones(max(0, len(word) - 1), bool)
                 inner = first[1:-1]
                 near[inner[(inner > 0) & (inner < len(word))] - 1] = False
@@ -108,8 +108,8 @@ def _contexts(text: str, vocabulary: np.ndarray):
                 for centre, other in ((a, b), (b, a)):
                     has = own[centre] >= 0
                     centre, other = own[centre[has]] * WIDTH, other[has]
-                    for p in range(PLACES):
-                        total += np.bincount(centre + places[other, p], sign[other, p], len(total))
+                    for at, sign in index_places(word[other]):
+                        total += np.bincount(centre + at, sign, len(total))
         for group, at in enumerate(range(0, len(vocabulary), GROUP)):
             own = total[at * WIDTH : (at + GROUP) * WIDTH]
             if own.any():
@@ -231,7 +231,7 @@ def fold(key: str):
 def _pooled(model, text):
     def run(batches):
         for batch in batches:
-            for part in slices(batch, text):
+            for part in slices(batch, text, PART):
                 x = pool(part.column(text), *model)
                 flat = pa.ListArray.from_arrays(pa.array(np.arange(len(x) + 1, dtype=np.int32) * x.shape[1]), pa.array(x.ravel()))
                 yield pa.RecordBatch.from_arrays([*(part.column(c) for c in ("_key", "_y", "_fold")), flat], ["key", "y", "fold", "x"])
@@ -261,7 +261,7 @@ def _score(model, text: str, keep: list[str]):
 
     def run(batches):
         for batch in batches:
-            for part in slices(batch, text):
+            for part in slices(batch, text, PART):
                 s = network.score(pool(part.column(text), *space))
                 yield pa.RecordBatch.from_arrays([*[part.column(c) for c in keep], pa.array(s, pa.float64())], [*keep, "_score"])
 
