@@ -41,7 +41,7 @@ def test_same_rows(spark, con, name):
     assert mine == sorted((tuple(plain(x[k]) for k in at) for x in r.fetchall()), key=repr)
 
 
-@pytest.mark.parametrize("name", sorted(set(plans.QUERIES) - set(plans.SQL) - {"menu_pairing"}))
+@pytest.mark.parametrize("name", sorted(set(plans.QUERIES) - set(plans.SQL)))
 def test_rows(spark, name):
     assert plans.QUERIES[name](spark, SF).count() > 0
 
