@@ -110,6 +110,19 @@ def prune_children(children: DataFrame, kept_parents: DataFrame, key: str, paren
     return children.join(kept_parents.select(F.col(parent_key).alias(key)).distinct(), key, "left_semi")
 
 
+def clean_up(listings: DataFrame, children: DataFrame, as_of: Column, days: int = 30, key: str = "id", parent: str = "listing_id") -> tuple[DataFrame, DataFrame, DataFrame]:
+    """The daily clean-up as one batch: the listings that stay, the children that do, and one row (deleted, pruned).
+
+    Only children of expired listings go; those of listings that are unknown stay. Empty tables give counts of 0.
+    """
+    old = listings.where(F.coalesce(F.coalesce("last_scraped_at", "scraped_at") < as_of - F.make_dt_interval(F.lit(days)), F.lit(False)))
+    gone = old.select(F.col(key).alias(parent)).distinct()
+    zero = F.lit(0).cast("long")
+    pruned = children.join(gone, parent, "left_semi").agg(zero.alias("deleted"), F.count("*").alias("pruned"))
+    report = old.agg(F.count("*").alias("deleted"), zero.alias("pruned")).unionByName(pruned).agg(F.sum("deleted").alias("deleted"), F.sum("pruned").alias("pruned"))
+    return expire(listings, as_of, days), children.join(gone, parent, "left_anti").select(*children.columns), report
+
+
 def close_orphans(runs: DataFrame, as_of: Column, hours: int) -> DataFrame:
     """Runs that began long ago and never ended count as failed."""
     orphan = (F.col("status") == "running") & (F.col("started_at") < as_of - F.make_dt_interval(F.lit(0), F.lit(hours)))

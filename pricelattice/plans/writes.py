@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import geo, text
 from ..operators import builder, compare, mutate, rank, reads, resolve
+from ..sources import payloads
 from .queries import _ALL4, DISHES, QUERIES, SQL, _dishes, _fresh, _re, query
 from .tables import FRESH, LISTINGS, as_of, listings, read
 
@@ -272,3 +273,28 @@ def builder_writes(spark, d):
     c = builder.from_table(c).eq("c_nationkey", 3).not_.eq("even", True).update({"c_mktsegment": {"tags": [None, 1]}})
     c = builder.from_table(c).eq("c_nationkey", 5).delete()
     return builder.from_table(c).insert({"c_custkey": 0, "c_mktsegment": "new"}).select("c_custkey", "c_mktsegment")
+
+
+_SEEN = "(CASE WHEN o_orderkey % 3 <> 0 THEN o_orderdate + INTERVAL 30 DAY ELSE o_orderdate END)"
+
+
+@query(f"""WITH x AS (SELECT o_orderkey FROM orders WHERE {_SEEN} < (SELECT max(o_orderdate) FROM orders) - INTERVAL 700 DAY)
+ SELECT (SELECT count(*) FROM x) AS deleted, count(*) AS pruned FROM lineitem WHERE l_orderkey IN (SELECT o_orderkey FROM x)""")
+def daily_cleanup(spark, d):
+    """What the daily clean-up deletes: orders as listings, their lines as children."""
+    o = read(spark, d, "orders")
+    seen = F.when(F.col("o_orderkey") % 3 != 0, F.col("o_orderdate") + F.expr("INTERVAL 30 DAYS"))
+    rows = o.select(F.col("o_orderkey").alias("id"), F.col("o_orderdate").alias("scraped_at"), seen.alias("last_scraped_at"))
+    lines = read(spark, d, "lineitem").select(F.col("l_orderkey").alias("listing_id"), "l_linenumber")
+    return mutate.clean_up(rows, lines, as_of(o, "o_orderdate"), 700)[2]
+
+
+@query("""SELECT c_custkey, CASE WHEN c_custkey % 5 = c_custkey % 3 THEN 2 ELSE 3 END AS n, coalesce(c_name, '') || CASE WHEN c_custkey % 5 = c_custkey % 3 THEN '' ELSE '|Second' END || '|Unknown' AS names,
+ 'https://www.ubereats.com/s/' || c_custkey || CASE WHEN c_custkey % 5 = c_custkey % 3 THEN '|' ELSE '||' END AS urls FROM customer""")
+def search_answers(spark, d):
+    """Answers of a search, two pages each with a repeated store, an advertisement and stores without a name."""
+    k = F.col("c_custkey")
+    one = F.format_string('[{"type":"REGULAR_STORE","uuid":"u","store":{"storeUuid":"%d","title":{"text":"%s"},"actionUrl":"/s/%d?x=1"}},{"type":"AD","store":{}}]', k % 5, F.coalesce("c_name", F.lit("")), k)
+    two = F.format_string('[{"type":"REGULAR_STORE","uuid":"%d","store":{"title":{"text":"Second"}}},{"type":"REGULAR_STORE","store":null}]', k % 3)
+    c = payloads.search_candidates(read(spark, d, "customer").select(k, F.array(one, two).alias("pages")), "c_custkey")
+    return c.select("c_custkey", F.size("candidates").alias("n"), F.array_join("candidates.name", "|").alias("names"), F.array_join("candidates.url", "|").alias("urls"))

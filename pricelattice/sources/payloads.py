@@ -81,6 +81,27 @@ def store_feed(rows: DataFrame, key: str = "id", payload: str = "payload") -> Da
     return best.select("s.uuid", "s.name", text.rating(F.col("s.rating"), comma=False).alias("rating"), "s.url")
 
 
+FEED_PAGE = "array<struct<type:string,uuid:string,store:struct<storeUuid:string,title:struct<text:string>,actionUrl:string,mapMarker:struct<latitude:double,longitude:double>>>>"
+
+
+def search_candidates(rows: DataFrame, key: str = "id", pages: str = "pages", base: str = "https://www.ubereats.com") -> DataFrame:
+    """What a search answered, feed pages as an array of JSON texts, to candidates as `resolve.presence` takes them.
+
+    Stores in their order, the first of each identifier; those without one are all kept. A page that is no list, a null
+    page and null pages give nothing; a search without a store has an empty list. One row stays one row: no shuffle.
+    """
+    one = lambda p: F.when(F.ltrim(p).startswith("["), F.from_json(p, FEED_PAGE))
+    uuid = lambda x: F.coalesce(F.nullif(x["store"]["storeUuid"], F.lit("")), F.nullif(x["uuid"], F.lit("")), F.lit(""))
+    feed = F.flatten(F.filter(F.transform(F.coalesce(F.col(pages), F.array().cast("array<string>")), one), F.isnotnull))
+    stores = F.filter(feed, lambda x: F.coalesce(x["type"] == "REGULAR_STORE", F.lit(False)))
+    first = lambda s: text.bind(F.transform(s, uuid), lambda ids: F.filter(s, lambda x, k: (uuid(x) == "") | (F.array_position(ids, uuid(x)) == k + 1)))
+    link = lambda x: F.when(x["store"]["actionUrl"] != "", F.concat(F.lit(base), F.substring_index(x["store"]["actionUrl"], "?", 1))).otherwise("")
+    candidate = lambda x: F.struct(
+        F.coalesce(x["store"]["title"]["text"], F.lit("Unknown")).alias("name"), link(x).alias("url"), x["store"]["mapMarker"]["latitude"].alias("lat"), x["store"]["mapMarker"]["longitude"].alias("lng"), F.lit(None).cast("string").alias("cuisine")
+    )
+    return rows.select(key, F.transform(text.bind(stores, first), candidate).alias("candidates"))
+
+
 def restaurant_state(rows: DataFrame, key: str = "id", payload: str = "payload") -> DataFrame:
     """A page's state to a listing: coordinates stand as (longitude, latitude), money in cents."""
     schema = "struct<name:string,location:struct<coordinates:array<double>>,rating:struct<score:double,votes:int>,delivery:struct<fee:int,minOrder:int,etaMin:int,etaMax:int>>"

@@ -132,3 +132,24 @@ def test_place_and_phone(spark):
     assert [(r.fsq_place_id, r.score) for r in resolve.best_place(rows, places).collect()] == [("p", 100)]
     nodes = spark.createDataFrame([("Wok House Brussels", "+321", 50.8402, 4.3601), ("Bar", "+322", 50.84, 4.36)], "name string, phone string, lat double, lng double")
     assert [tuple(r) for r in resolve.phone_by_name(rows, nodes).collect()] == [(1, "+321")]
+
+
+def test_search_candidates(spark):
+    page = json.dumps([{"type": "REGULAR_STORE", "uuid": "a", "store": {"title": {"text": "A"}, "actionUrl": "/s/a?q=1", "mapMarker": {"latitude": 50.8, "longitude": 4.3}}}, {"type": "AD"}, {"type": "REGULAR_STORE", "uuid": "a", "store": {"title": {"text": "again"}}}, {"type": None}])
+    more = json.dumps([{"type": "REGULAR_STORE", "uuid": "x", "store": {"storeUuid": "a"}}, {"type": "REGULAR_STORE", "store": None}, {"type": "REGULAR_STORE", "uuid": ""}])
+    rows = spark.createDataFrame([(1, [page, more]), (2, [None, "{}", "[", "[]"]), (3, None), (4, []), (1, [page])], "id int, pages array<string>")
+    got = sorted((r.id, [tuple(c) for c in r.candidates]) for r in payloads.search_candidates(rows).collect())
+    a, none = ("A", "https://www.ubereats.com/s/a", 50.8, 4.3, None), ("Unknown", "", None, None, None)
+    assert got == [(1, [a]), (1, [a, none, none]), (2, []), (3, []), (4, [])]
+
+
+def test_clean_up(spark):
+    kind = "id int, scraped_at timestamp, last_scraped_at timestamp"
+    t = lambda d: dt.datetime(2026, 1, 1) + dt.timedelta(days=d)
+    rows = spark.createDataFrame([(1, t(0), None), (2, t(0), t(40)), (3, None, None), (4, t(20), None), (5, t(50), t(1))], kind)
+    children = spark.createDataFrame([(1, "a"), (1, "a"), (2, "b"), (5, "c"), (9, "d"), (None, "e")], "listing_id int, title string")
+    kept, lines, report = mutate.clean_up(rows, children, F.lit(t(50)), 30)
+    assert sorted(r.id for r in kept.collect()) == [2, 3, 4]
+    assert sorted(map(tuple, lines.collect()), key=repr) == [(2, "b"), (9, "d"), (None, "e")]
+    assert tuple(report.first()) == (2, 3)
+    assert tuple(mutate.clean_up(rows.limit(0), children.limit(0), F.lit(t(50)))[2].first()) == (0, 0)
