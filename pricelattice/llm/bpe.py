@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from .common import ship, table, with_fields
+from .common import ship, slices, table, with_fields
 
 CHUNK_CACHE, WORD_CACHE = 400_000, 400_000
 PAIR_CACHE = 2_000_000
@@ -216,8 +216,7 @@ def _encode(path: str, text: str, keep: list[str]):
     def run(batches):
         bpe = load(path)
         for batch in batches:
-            for at in range(0, batch.num_rows, 256):
-                part = batch.slice(at, 256)
+            for part in slices(batch, text):
                 rows = [bpe.encode(t or "") for t in part.column(text).to_pylist()]
                 off = np.cumsum([0, *map(len, rows)]) // 4
                 ids = np.frombuffer(b"".join(rows), np.int32)
@@ -238,7 +237,8 @@ def encode_documents(docs: DataFrame, path: str, text: str = "text", keep: tuple
     """keep, ids (array of int) and decoded (the ids' text) of every whole text.
 
     Null and empty texts have no ids and an empty decoded text. Rows are independent: ties and repeated rows need
-    nothing, other columns are not read. path is a vocabulary file that every executor can open.
+    nothing, other columns are not read. A worker holds the ids of about a megabyte of text, or of one longer text.
+    path is a vocabulary file that every executor can open.
     """
     ship(docs.sparkSession)
     keep = list(keep)

@@ -7,6 +7,7 @@ import random
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -585,6 +586,17 @@ def test_bpe(library):
     assert [b.decode() for b in own.decode_all(np.concatenate(rows), off)] == [library.decode(x.tolist(), skip_special_tokens=False) for x in rows]
 
 
+def test_bpe_parts_by_bytes(library):
+    """Long texts do not wait for each other: a part has about a megabyte, and one longer text stands alone."""
+    texts = ["", None, "a short one", *["some words of a long text " * 12_000] * 4, "b " * 700_000, "last"]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(len(texts)), pa.int64()), pa.array(texts, pa.string())], ["doc_id", "text"])
+    parts = list(bpe._encode(bpe.vocabulary(), "text", ["doc_id"])([batch]))
+    assert len(parts) > 2 and all(p.num_rows == 1 or sum(len(t or "") for t in p.column("decoded").to_pylist()) <= 2 << 20 for p in parts)
+    got = {k: ids for p in parts for k, ids in zip(p.column("doc_id").to_pylist(), p.column("ids").to_pylist(), strict=True)}
+    assert list(got) == list(range(len(texts)))
+    assert all(got[k] == library.encode(texts[k] or "", add_special_tokens=False).ids for k in got)
+
+
 @both
 def test_bpe_awkward(spark, library, clashing):
     docs = H.awkward(spark, clashing)
