@@ -119,7 +119,7 @@ def first_values(rows: DataFrame, column: str, n: int = 8) -> DataFrame:
 
 def run_metrics(samples: DataFrame, key: str = "run_id") -> DataFrame:
     """Peak and mean memory of each run in whole megabytes, and its counters."""
-    return samples.groupBy(key).agg(F.max("ram_mb").alias("ram_peak"), F.floor(F.avg("ram_mb")).alias("ram_avg"), F.sum("errors").alias("errors"), F.count("*").alias("samples"))
+    return samples.groupBy(key).agg(F.max("ram_mb").alias("ram_peak"), F.floor(geo.exact_mean(F.col("ram_mb"))).alias("ram_avg"), F.sum("errors").alias("errors"), F.count("*").alias("samples"))
 
 
 def shares(rows: DataFrame, column: str) -> DataFrame:

@@ -119,6 +119,19 @@ def test_reads(spark):
     assert reads.detail(r, "wok").first().slug == "wok" and reads.detail(r, "123e4567-e89b-12d3-a456-426614174000").first().slug == "wok"
 
 
+def test_mean_memory_in_any_order(spark):
+    import itertools
+
+    samples = [(k, x) for k, order in enumerate(itertools.permutations([54.26, 75.07, 14.67])) for x in order]  # 144, or less by a bit
+    samples += [(6, 1e300), (6, 1e300), (7, None), (8, None), (8, -1e-20), (9, 9e19), (9, 9e19), (10, float("inf")), (10, 1.0), (11, 0.1 + 0.2), (11, -0.1)]
+    rows = spark.createDataFrame(samples, "run_id int, ram_mb double").coalesce(1)
+    got = {r.run_id: r.ram_avg for r in reads.run_metrics(rows.withColumn("errors", F.lit(0))).collect()}
+    assert [got[k] for k in range(6)] == [48] * 6
+    assert (got[7], got[8], got[11]) == (None, -1, 0)
+    mean = {r.run_id: r.m for r in rows.groupBy("run_id").agg(geo.exact_mean(F.col("ram_mb")).alias("m")).collect()}
+    assert (mean[6], mean[9], mean[10]) == (1e300, 9e19, float("inf"))
+
+
 def test_decision_card(spark):
     items = spark.createDataFrame([(1, "a", 1, 1000, 900, None, None), (1, "b", 1, 100, None, None, None)], "basket_id int, name string, qty int, uber_eats int, deliveroo int, takeaway int, direct int")
     fees = spark.createDataFrame([(1, 100, 100, None, None)], "basket_id int, uber_eats int, deliveroo int, takeaway int, direct int")
