@@ -104,3 +104,35 @@ def test_best_title_is_brute_force(spark):
     assert got == want and want[0][0] == "pizza quattro formaggi"
     one = lambda x: x.withColumn("place", F.lit(1))
     assert {x.query_id: (x.item, x.sim) for x in compare.best_title(one(queries), one(items), "place").collect()} == want
+
+
+PARTS = [(1, "a", "x", "p", 1), (2, "a", "x", "p", 3), (3, None, "x", "p", 2), (4, "a", "x", None, 2), (5, None, "x", None, None), (6, "b", "x", "q", 2), (6, "b", "x", "q", 7), (7, "b", None, "q", 2), (8, "a", "y", "p", 1), (None, "a", "x", "p", 1), (9, "c", "y", "p", 40), (10, "a", "x", "q", 1)]
+
+
+def by_sql(name, d):
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW part AS SELECT * FROM read_parquet('{d}/part.parquet/*.parquet')")
+    r = con.execute(f"SELECT a, b, total, {'decision' if name == 'evidence_bands' else 'NULL'} FROM ({plans.SQL[name]})").fetchall()
+    return sorted(r, key=repr)
+
+
+def test_evidence_of_unknown_values(spark, tmp_path):
+    spark.createDataFrame(PARTS, "p_partkey long, p_name string, p_brand string, p_type string, p_size int").write.parquet(f"{tmp_path}/part.parquet")
+    got = sorted(map(tuple, plans.QUERIES["evidence_bands"](spark, str(tmp_path)).select("a", "b", "total", "decision").collect()), key=repr)
+    assert got == by_sql("evidence_bands", tmp_path) and len(got) == 28
+
+
+def test_evidence_builds_no_maps(spark):
+    """A pair costs a sum of numbers, and a large brand is many cells."""
+    plan = plans.QUERIES["evidence_bands"](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
+    assert "map" not in plan and "_i" in plan
+
+
+def test_pairs_of_large_blocks(spark):
+    from pricelattice.operators import resolve
+
+    rows = [(k, "x" if k % 5 else "y") for k in range(60)] + [(7, "x"), (None, "x"), (60, None), (61, "z")]
+    got = resolve.pairs_within(spark.createDataFrame(rows, "id int, g string"), "g", size=9)
+    known = [(k, g) for k, g in rows if k is not None and g]
+    assert sorted((r.id_a, r.id_b) for r in got.collect()) == sorted((k, m) for k, g in known for m, h in known if g == h and k < m)
+    assert got.columns == ["id_a", "g_a", "id_b", "g_b"]
