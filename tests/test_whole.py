@@ -3,6 +3,7 @@
 import os
 
 import pytest
+from pyspark.sql import functions as F
 
 duckdb = pytest.importorskip("duckdb")
 SF = "/root/testdata/sf0.001"
@@ -136,3 +137,26 @@ def test_pairs_of_large_blocks(spark):
     known = [(k, g) for k, g in rows if k is not None and g]
     assert sorted((r.id_a, r.id_b) for r in got.collect()) == sorted((k, m) for k, g in known for m, h in known if g == h and k < m)
     assert got.columns == ["id_a", "g_a", "id_b", "g_b"]
+
+
+def test_near_misses_make_few_pairs(spark, tmp_path):
+    """Copies of parts are one kind: the pairs that are made do not grow with them, and the answer is that over all pairs."""
+    from pricelattice.operators import resolve
+    from pricelattice.plans import writes  # noqa: F401
+
+    kind = "p_partkey long, p_name string, p_brand string, p_type string, p_size int"
+    spark.createDataFrame(PARTS * 2, kind).write.parquet(f"{tmp_path}/part.parquet")
+    got = lambda d: [tuple(r) for r in plans.QUERIES["near_misses"](spark, str(d)).collect()]
+    assert got(tmp_path) == sorted((r[:3] for r in by_sql("near_misses", tmp_path)), key=lambda r: (-r[2], *r[:2])) != []
+    p = plans.parts_in_brands(spark, SF)
+    many = p.where("id < 60").crossJoin(spark.range(30).withColumnRenamed("id", "k")).withColumn("id", F.col("id") + 1000 * F.pmod(F.col("k") * 7, F.lit(30))).drop("k")
+    seen = []
+
+    def features(pairs, *more):
+        seen.append(pairs.count())
+        return plans.part_features(pairs, *more)
+
+    for limit in (1, 7, 200):
+        want = resolve.near_misses(resolve.score(plans.part_features(resolve.pairs_within(many, "p_brand"))), limit).select("a", "b", "total")
+        assert resolve.near_misses_within(many, "p_brand", features, limit).collect() == want.collect()
+    assert max(seen) <= 60 * 61 / 2
