@@ -14,10 +14,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from .common import ship, slices, table, with_fields
+from .common import giving_back, ship, slices, table, with_fields
 
-CHUNK_CACHE, WORD_CACHE = 400_000, 400_000
-PAIR_CACHE = 2_000_000
+#: Most pieces of text, and pairs of tokens, whose answers a worker keeps while a task runs.
+PIECES, PAIRS = 400_000, 500_000
 #: Characters for which this module splits and lower-cases itself; tests hold each against the library.
 PLAIN = regex.compile("[\x00-\x1b\x20-\u012f\u0131-\u024f]*+")
 WORDS = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\p{L}\p{N}]+")
@@ -76,14 +76,15 @@ class BacktrackingBpe:
         self.shorter: dict[int, int | None] = {}
         for own, token in by_symbols.items():
             self.shorter[token] = next((by_symbols[own[:k]] for k in range(len(own) - 1, 0, -1) if own[:k] in by_symbols), None)
-        self.pairs: dict[tuple[int, int], bool] = {}
-        self.words: dict[str, array] = {}
-        self.chunks: dict[str, bytes] = {}
+        self.size = max(max(vocab.values()), *(t["id"] for t in spec["added_tokens"])) + 1
+        #: By left * size + right.
+        self.pairs: dict[int, bool] = {}
+        #: The ids of chunks and of words, which are chunks of their own.
+        self.pieces: dict[str, bytes] = {}
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
         self.special_split = regex.compile("(" + "|".join(map(regex.escape, self.special)) + ")") if self.special else None
         self.library = Tokenizer.from_file(path)
-        size = max(max(vocab.values()), *self.special.values()) + 1
-        contents = [b""] * size
+        contents = [b""] * self.size
         for content, k in {**vocab, **self.special}.items():
             contents[k] = content.encode() + b" "
         self.bytes = np.frombuffer(b"".join(contents), np.uint8)
@@ -91,7 +92,7 @@ class BacktrackingBpe:
 
     def fits(self, left: int, right: int) -> bool:
         """Whether merging the two tokens' symbols together ends in just these two tokens."""
-        known = self.pairs.get((left, right))
+        known = self.pairs.get(left * self.size + right)
         if known is not None:
             return known
         a, b, rank = left, right, self.rank
@@ -110,11 +111,22 @@ class BacktrackingBpe:
                 limit, a = ra, self.parts[a][1]
             else:
                 limit, b = rb + 1, self.parts[b][0]
-        if len(self.pairs) >= PAIR_CACHE:
+        if len(self.pairs) >= PAIRS:
             self.pairs.clear()
-        self.pairs[left, right] = out
+        self.pairs[left * self.size + right] = out
         return out
 
+    def keep(self, piece: str, ids: bytes) -> bytes:
+        if len(piece) <= 64:
+            if len(self.pieces) >= PIECES:
+                self.pieces.clear()
+            self.pieces[piece] = ids
+        return ids
+
+    def forget(self) -> None:
+        """Leaves the tables, and no answers: a worker that is used again, for whatever, does not hold them."""
+        self.pairs, self.pieces = {}, {}
+
     def encode_word(self, word: str) -> list[int]:
         data = word.encode()
         own = data[:-1].decode("latin-1") + self.end_symbol[data[-1]]
@@ -126,13 +138,13 @@ class BacktrackingBpe:
             return [token]
         out: list[int] = []
         dead: set[int] = set()
-        pairs, length, shorter = self.pairs, self.length, self.shorter
+        pairs, length, shorter, n_tokens = self.pairs, self.length, self.shorter, self.size
         at, last = 0, -1
         while True:
             while token is not None:
                 end = at + size
                 if end not in dead:
-                    ok = last < 0 or pairs.get((last, token))
+                    ok = last < 0 or pairs.get(last * n_tokens + token)
                     if ok is None:
                         ok = self.fits(last, token)
                     if ok:
@@ -158,23 +170,14 @@ class BacktrackingBpe:
     def encode_chunk(self, chunk: str) -> bytes:
         """The ids, as 32-bit integers, of plain characters without white space."""
         low = chunk.lower()
-        words = self.words
-        ids = array("i")
-        for w in (low,) if low.isalpha() else WORDS.findall(low):
-            own = words.get(w)
-            if own is None:
-                own = array("i", self.encode_word(w))
-                if len(words) >= WORD_CACHE:
-                    words.clear()
-                if len(w) <= 64:
-                    words[w] = own
-            ids += own
-        out = ids.tobytes()
-        if len(self.chunks) >= CHUNK_CACHE:
-            self.chunks.clear()
-        if len(chunk) <= 64:
-            self.chunks[chunk] = out
-        return out
+        if low.isalpha():
+            ids = self.pieces.get(low) if low != chunk else None
+            return self.keep(chunk, array("i", self.encode_word(low)).tobytes() if ids is None else ids)
+        out = []
+        for w in WORDS.findall(low):
+            ids = self.pieces.get(w)
+            out.append(self.keep(w, array("i", self.encode_word(w)).tobytes()) if ids is None else ids)
+        return self.keep(chunk, b"".join(out))
 
     def encode_rest(self, text: str) -> bytes:
         """The same of any text without special tokens, normalised and split by the library."""
@@ -185,7 +188,7 @@ class BacktrackingBpe:
 
     def encode(self, text: str) -> bytes:
         """The ids of a whole text as 32-bit integers."""
-        known, chunk = self.chunks.get, self.encode_chunk
+        known, chunk = self.pieces.get, self.encode_chunk
         out = []
         for part in self.special_split.split(text) if "<|" in text else (text,):
             if part in self.special:
@@ -213,16 +216,20 @@ def load(path: str) -> BacktrackingBpe:
 
 
 def _encode(path: str, text: str, keep: list[str]):
+    @giving_back
     def run(batches):
         bpe = load(path)
-        for batch in batches:
-            for part in slices(batch, text):
-                rows = [bpe.encode(t or "") for t in part.column(text).to_pylist()]
-                off = np.cumsum([0, *map(len, rows)]) // 4
-                ids = np.frombuffer(b"".join(rows), np.int32)
-                lists = pa.ListArray.from_arrays(pa.array(off.astype(np.int32)), pa.array(ids))
-                texts = pa.array(bpe.decode_all(ids, off), pa.binary()).cast(pa.string())
-                yield pa.RecordBatch.from_arrays([*[part.column(c) for c in keep], lists, texts], [*keep, "ids", "decoded"])
+        try:
+            for batch in batches:
+                for part in slices(batch, text):
+                    rows = [bpe.encode(t or "") for t in part.column(text).to_pylist()]
+                    off = np.cumsum([0, *map(len, rows)]) // 4
+                    ids = np.frombuffer(b"".join(rows), np.int32)
+                    lists = pa.ListArray.from_arrays(pa.array(off.astype(np.int32)), pa.array(ids))
+                    texts = pa.array(bpe.decode_all(ids, off), pa.binary()).cast(pa.string())
+                    yield pa.RecordBatch.from_arrays([*[part.column(c) for c in keep], lists, texts], [*keep, "ids", "decoded"])
+        finally:
+            bpe.forget()
 
     return run
 

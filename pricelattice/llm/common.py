@@ -101,6 +101,19 @@ def slices(batch: pa.RecordBatch, text: str, limit: int = 1 << 20):
         at = to
 
 
+def giving_back(run):
+    """run over a task's batches; then the worker's Arrow pool gives back what it holds unused, for a worker outlives its
+    task, and what later stages do in it has to fit beside that."""
+
+    def own(batches):
+        try:
+            yield from run(batches)
+        finally:
+            pa.default_memory_pool().release_unused()
+
+    return own
+
+
 def hot_join(left: DataFrame, right: DataFrame, key: str, total: int, parts: int = 1000) -> DataFrame:
     """left joined with right, which has one row a key and, in n, how many of left's `total` rows have that key.
 

@@ -8,7 +8,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Work, ship, slices, table, text_buffer, with_fields
+from .common import Work, giving_back, ship, slices, table, text_buffer, with_fields
 from .words import SPACE, U, mix, prefix_hash, range_hash, spans, word_hashes
 
 #: Words that have a vector of their own, shape buckets, width of a vector and its non-zero places.
@@ -73,6 +73,7 @@ def known(words: np.ndarray, vocabulary: np.ndarray) -> np.ndarray:
 def _counts(text: str):
     """Words with their counts, a row for each word and COUNTED words or a little more."""
 
+    @giving_back
     def run(batches):
         words, n = [], 0
         for batch in batches:
@@ -95,6 +96,7 @@ def _counts(text: str):
 def _contexts(text: str, vocabulary: np.ndarray):
     """Sums over all neighbours of their index vectors, for the words of the vocabulary; a row for each GROUP of words."""
 
+    @giving_back
     def run(batches):
         part_id, total = TaskContext.get().partitionId(), np.zeros(len(vocabulary) * WIDTH)
         for batch in batches:
@@ -124,6 +126,7 @@ SUMS = ["group", "part", "sums"]
 def _added():
     """Rows sorted by (group, part) to one row for each, their sums."""
 
+    @giving_back
     def run(batches):
         now, total = None, None
         for batch in batches:
@@ -229,6 +232,7 @@ def fold(key: str):
 
 
 def _pooled(model, text):
+    @giving_back
     def run(batches):
         for batch in batches:
             for part in slices(batch, text, PART):
@@ -259,6 +263,7 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", sample: int
 def _score(model, text: str, keep: list[str]):
     *space, network = model
 
+    @giving_back
     def run(batches):
         for batch in batches:
             for part in slices(batch, text, PART):
@@ -277,10 +282,10 @@ def score_quality(docs: DataFrame, model, text: str = "text", keep: tuple[str, .
 
 
 def keep_quality(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """docs without those that the classifier rejects."""
-    held = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_doc"), "text")
-    scored = score_quality(held, fit(docs, labels), keep=("_doc",))
-    return scored.where(F.col("_score") >= threshold).select(*[F.col(f"_doc.`{c}`").alias(c) for c in docs.columns])
+    """docs without those that the classifier rejects. A text goes to the workers once, as one of its row's columns."""
+    plain = docs.toDF(*[f"c{k}" for k in range(len(docs.columns))])
+    scored = score_quality(plain, fit(docs, labels), f"c{docs.columns.index('text')}", tuple(plain.columns))
+    return scored.where(F.col("_score") >= threshold).drop("_score").toDF(*docs.columns)
 
 
 def query(spark, sf_dir: str) -> DataFrame:

@@ -5,6 +5,7 @@ import math
 import os
 import random
 import zlib
+from types import SimpleNamespace
 
 import numpy as np
 import pyarrow as pa
@@ -12,7 +13,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import helpers as H
-from pricelattice.llm import bpe, licenses, mixing, neardup, pii, quality, sharding, substrings, vectors
+from pricelattice.llm import bpe, common, licenses, mixing, neardup, pii, quality, sharding, substrings, vectors
 from pricelattice.llm.common import Work
 
 SF = "/root/testdata/sf0.001"
@@ -553,6 +554,16 @@ def test_quality_learns_from_its_fold(spark):
     assert x == y and all((x[k] > 0.5) == bool(k % 2) for k in held)
 
 
+def test_quality_sends_a_text_once(spark, monkeypatch):
+    """What goes to the workers for a document has its text once, not beside a row that holds it too."""
+    sent, score = [], quality.score_quality
+    monkeypatch.setattr(quality, "score_quality", lambda docs, model, text="text", keep=("doc_id",): (sent.append(docs.select(*dict.fromkeys([*keep, text]))), score(docs, model, text, keep))[1])
+    docs = spark.createDataFrame([(k, f"marker{k} some words", "en", "a", 1) for k in range(3)], H.DOCUMENTS)
+    out = quality.keep_quality(docs, spark.createDataFrame([(0, 1)], "doc_id long, quality int"), 0.0)
+    assert sorted(out.collect()) == sorted(docs.collect())
+    assert [str(r).count("marker") for r in sent[0].collect()] == [1, 1, 1]
+
+
 @both
 def test_quality_awkward(spark, clashing):
     docs = H.awkward(spark, clashing)
@@ -597,6 +608,18 @@ def test_bpe_parts_by_bytes(library):
     assert all(got[k] == library.encode(texts[k] or "", add_special_tokens=False).ids for k in got)
 
 
+def test_bpe_task_leaves_nothing(monkeypatch):
+    """A worker that is used again holds the tables, but not the answers of the task before, nor Arrow's unused memory."""
+    own, calls = bpe.load(bpe.vocabulary()), []
+    held = lambda: sum(len(v) for v in vars(own).values() if isinstance(v, dict))
+    batch = pa.RecordBatch.from_arrays([pa.array([1]), pa.array([" ".join(f"unheard{k}of, Word{k}" for k in range(500))])], ["doc_id", "text"])
+    own.encode("unheard of")
+    monkeypatch.setattr(common.pa, "default_memory_pool", lambda: SimpleNamespace(release_unused=lambda: calls.append(1)))
+    assert len(list(bpe._encode(bpe.vocabulary(), "text", ["doc_id"])([batch]))) == 1
+    assert held() <= sum(len(v) for v in vars(bpe.BacktrackingBpe(bpe.vocabulary())).values() if isinstance(v, dict))
+    assert calls == [1]
+
+
 @both
 def test_bpe_awkward(spark, library, clashing):
     docs = H.awkward(spark, clashing)
