@@ -129,6 +129,29 @@ def test_evidence_builds_no_maps(spark):
     assert "map" not in plan and "_i" in plan
 
 
+def test_evidence_scores_copies_once(spark, tmp_path, monkeypatch):
+    """Parts alike but for their ids are scored as one kind; the pairs that come out are still all pairs."""
+    from pricelattice.operators import resolve
+
+    p = spark.read.parquet(f"{SF}/part.parquet").where("p_partkey < 60")
+    p.crossJoin(spark.range(9).withColumnRenamed("id", "k")).withColumn("p_partkey", F.col("p_partkey") + 1000 * F.pmod(F.col("k") * 7, F.lit(8))).drop("k").write.parquet(f"{tmp_path}/part.parquet")
+    features, seen = plans.part_features, []
+
+    def counted(pairs, *more):
+        seen.append(pairs.count())
+        return features(pairs, *more)
+
+    monkeypatch.setattr(plans, "part_features", counted)
+    got = sorted((tuple(r) for r in plans.QUERIES["evidence_bands"](spark, str(tmp_path)).select("a", "b", "total", "decision").collect()), key=repr)
+    assert got == by_sql("evidence_bands", tmp_path) and len(got) > 60 * 60
+    assert max(seen) <= 60 * 61 / 2
+    odd = spark.createDataFrame(PARTS * 3, "id long, p_name string, p_brand string, p_type string, p_size int")
+    want = resolve.score(features(resolve.pairs_within(odd, "p_brand"))).select("a", "b", "total", "decision")
+    for size, most in ((8_000, 256), (4, 2), (1, 1)):
+        made = resolve.score_within(odd, "p_brand", features, size, most)
+        assert sorted(map(tuple, made.collect()), key=repr) == sorted(map(tuple, want.collect()), key=repr)
+
+
 def test_pairs_of_large_blocks(spark):
     from pricelattice.operators import resolve
 
